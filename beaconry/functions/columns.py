@@ -16,6 +16,16 @@ def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select(*rest, F.explode(F.array(value)).alias(name))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Split an input that has fewer scan partitions than the cluster has slots.
+
+    Only small inputs are affected (one file, one row group); a large table is
+    already cut into more splits than slots and passes through without a shuffle.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
+
+
 def lookup(key: Column, table: dict, default) -> Column:
     """Small fixed lookup table as a codegen-friendly CASE expression."""
     by_value: dict = {}

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from beaconry import constants as C
 from beaconry.functions import unicode as U
 from beaconry.functions.columns import with_computed
-from beaconry.functions.sqltext import any_contains, kept, let, literals, mapped, only_if, q, splice, sub, subs
+from beaconry.functions.sqltext import any_contains, kept, let, literals, mapped, only_if, q, splice, sub, subs, subs_if
 
 _B64_RUN = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{16,}+={0,2}+(?![A-Za-z0-9+/=])"
 _B64_MAX = 4096
@@ -86,13 +86,13 @@ def base64_runs(text: str) -> str:
 # --- structure --------------------------------------------------------------
 def markdown(text: str) -> str:
     rules = [
-        (r"\[([^\]]+)\]\((https?://[^\)]+)\)", "$1"),
-        (r"<([^>]+)>", "$1"),
-        (r"(?U)(?<!\w)`([^`\s]+)`(?!\w)", "$1"),
-        (r"(?U)(?<!\w)\*\*([^\*\s]+)\*\*(?!\w)", "$1"),
-        (r"(?U)(?<!\w)_([^\_\s]+)_(?!\w)", "$1"),
+        (["](http"], r"\[([^\]]+)\]\((https?://[^\)]+)\)", "$1"),
+        (["<"], r"<([^>]+)>", "$1"),
+        (["`"], r"(?U)(?<!\w)`([^`\s]+)`(?!\w)", "$1"),
+        (["**"], r"(?U)(?<!\w)\*\*([^\*\s]+)\*\*(?!\w)", "$1"),
+        (["_"], r"(?U)(?<!\w)_([^\_\s]+)_(?!\w)", "$1"),
     ]
-    return only_if(text, lambda t: any_contains(t, ["[", "<", "`", "_", "**"]), lambda t: subs(t, rules))
+    return subs_if(text, rules)
 
 
 def split_lines(text: str) -> str:
@@ -101,14 +101,15 @@ def split_lines(text: str) -> str:
         (r"(?U)([a-zA-Z0-9-])[ \t]*\r?\n[ \t]*\.([a-zA-Z]{2,})\b", "$1.$2"),
         (r"(?U)(\b\d{1,3}\.\d{1,3})[ \t]*\r?\n[ \t]*(\.\d{1,3}\.\d{1,3}\b)", "$1$2"),
         (r"(?U)(\b\d{1,3}\.\d{1,3}\.\d{1,3})?[ \t]*\r?\n[ \t]*(\.\d{1,3}\b)", "$1$2"),
-        (r"(https?://[a-zA-Z0-9\.-]+)[ \t]*\r?\n[ \t]*([a-zA-Z0-9/_\.-]+)", "$1$2"),
     ]
+    url_rule = (r"(https?://[a-zA-Z0-9\.-]+)[ \t]*\r?\n[ \t]*([a-zA-Z0-9/_\.-]+)", "$1$2")
     line_starts_with_dot = q(r"\n[ \t]*\.")
-    return only_if(
-        text,
-        lambda t: f"contains({t}, '\n') and (contains({t}, '://') or {t} rlike {line_starts_with_dot})",
-        lambda t: subs(t, rules),
-    )
+
+    def rewrite(t: str) -> str:
+        t = only_if(t, lambda x: f"{x} rlike {line_starts_with_dot}", lambda x: subs(x, rules))
+        return only_if(t, lambda x: f"contains({x}, '://')", lambda x: subs(x, [url_rule]))
+
+    return only_if(text, lambda t: f"contains({t}, '\n')", rewrite)
 
 
 # --- punctuation ------------------------------------------------------------
@@ -121,10 +122,11 @@ def brackets(text: str) -> str:
              ("[://]", "://"), ("[:]//", "://"), ("[://", "://"), ("://]", "://"),
              ("(://)", "://"), ("{://}", "://")],
         )
-        return subs(
+        return subs_if(
             t,
-            [(r"(?i)http\[s\]://", "https://"), (r"(?i)http\(s\)://", "https://"),
-             (r"\[([a-zA-Z0-9_-])\]", "$1"), (r"\(([a-zA-Z0-9_-])\)", "$1"), (r"\{([a-zA-Z0-9_-])\}", "$1")],
+            [(["]://", ")://"], r"(?i)http(?:\[s\]|\(s\))://", "https://"),
+             (["["], r"\[([a-zA-Z0-9_-])\]", "$1"), (["("], r"\(([a-zA-Z0-9_-])\)", "$1"),
+             (["{"], r"\{([a-zA-Z0-9_-])\}", "$1")],
         )
 
     return only_if(text, lambda t: any_contains(t, ["[", "]", "(", "{", "%5", "%2", "%7"]), rewrite)
@@ -136,8 +138,11 @@ def dots(text: str) -> str:
     def rewrite(t: str) -> str:
         t = f"translate({t}, {q(C.UNICODE_DOTS)}, {q('.' * len(C.UNICODE_DOTS))})"
         t = literals(t, [("%2E", "."), ("%2e", "."), ("[.]", "."), ("(.)", "."), ("{.}", ".")])
-        t = sub(t, r"(?i)\[(?:d0t|dt|dot)\]|\(dot\)|\{dot\}|<dot>", ".")
-        t = sub(t, r"(?U)\bDOT\b", ".")
+        closed = [letter + bracket for letter in "tT" for bracket in "])}>"]
+        t = subs_if(
+            t,
+            [(closed, r"(?i)\[(?:d0t|dt|dot)\]|\(dot\)|\{dot\}|<dot>", "."), (["DOT"], r"(?U)\bDOT\b", ".")],
+        )
         return only_if(
             t,
             lambda x: f"{x} rlike {spaced}",
@@ -155,14 +160,12 @@ def slashes(text: str) -> str:
 
 def at_signs(text: str) -> str:
     rules = [
-        (r"(?iU)\s*\[at\]\s*", "@"),
-        (r"(?iU)\s*\(\s*at\s*\)\s*", "@"),
-        (r"(?U)\s*\[@\]\s*", "@"),
-        (r"(?U)\s*\bAT\b\s*", "@"),
+        (["[at]", "[At]", "[aT]", "[AT]"], r"(?iU)\s*\[at\]\s*", "@"),
+        (["("], r"(?iU)\s*\(\s*at\s*\)\s*", "@"),
+        (["[@]"], r"(?U)\s*\[@\]\s*", "@"),
+        (["AT"], r"(?U)\s*\bAT\b\s*", "@"),
     ]
-    return only_if(
-        text, lambda t: any_contains(t, ["AT", "[", "(", "＠"]), lambda t: literals(subs(t, rules), [("＠", "@")])
-    )
+    return literals(subs_if(text, rules), [("＠", "@")])
 
 
 # --- formats ----------------------------------------------------------------
@@ -172,14 +175,14 @@ def url_schemes(text: str) -> str:
     rules = [
         (rf"(?iU)h(?:[a-z*_-]{{1,2}}ps|(?:s[a-z*_-]?|[a-z*_-]s)p){sep}", "https$1"),
         (rf"(?iU)h[a-z*_-]{{1,2}}p{sep}", "http$1"),
-        (r"(?iU)\bfxp(://)", "ftp$1"),
-        (r"(?iU)\bmeow(://)", "http$1"),
     ]
-    return only_if(
-        text,
-        lambda t: any_contains(t, ["://", "%3", "%25"]),
-        lambda t: literals(subs(t, rules), [("%253A", "%3A"), ("%253a", "%3a")]),
-    )
+    others = [(["xp://", "XP://", "xP://", "Xp://"], r"(?iU)\bfxp(://)", "ftp$1"),
+              (["w://", "W://"], r"(?iU)\bmeow(://)", "http$1")]
+
+    def rewrite(t: str) -> str:
+        return literals(subs_if(subs(t, rules), others), [("%253A", "%3A"), ("%253a", "%3a")])
+
+    return only_if(text, lambda t: any_contains(t, ["://", "%3", "%25"]), rewrite)
 
 
 def dotted(number: str) -> str:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from beaconry.functions.columns import spread
+
 BACKSLASH = "chr(92)"
 NEWLINE = "chr(10)"
 
@@ -73,8 +75,57 @@ def view(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, REPORTS, "documents")
+    return spread(view(spark, sf_dir, REPORTS, "documents"), "doc_id")
 
 
 def masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, MASKED_ONLY, "documents")
+    return spread(view(spark, sf_dir, MASKED_ONLY, "documents"), "doc_id")
+
+
+AS_OF = "timestamp '2024-01-31 00:00:00'"
+
+# Verdicts by arithmetic on the indicator: about a fifth have none.
+VERDICTS = """select value, type, cast(n % 100 as double) / 100 as confidence, n % 3 <> 0 as is_valid, 'note ' || cast(n % 10 as string) as reasoning
+ from (select distinct value, type, length(value) * 7 + ascii(substr(value, length(value), 1)) * 3 + ascii(substr(value, 6, 1)) as n
+  from (select 'CVE-2024-' || cast(1000 + doc_id % 60 as string) as value, 'cve' as type from documents
+   union all select 'http://c2-' || cast(doc_id % 40 as string) || '.evil' || cast(doc_id % 7 as string) || '.ru/payload.exe', 'url' from documents
+   union all select '45.' || cast(10 + doc_id % 50 as string) || '.' || cast(doc_id % 200 as string) || '.7', 'ip' from documents)) where n % 5 <> 0"""
+
+# Per-feed reliability.
+RELIABILITY = """select source as feed, 0.2 + cast(n % 9 as double) / 10 as reliability from
+ (select distinct source, length(source) + ascii(substr(source, length(source), 1)) as n from documents)"""
+
+# Stored indicator rows: one per event.
+IOC_STORE = """select event_id,
+ case event_type when 'error' then 'ip' when 'click' then 'url' when 'view' then 'domain' when 'purchase' then 'cve' else 'md5' end as type,
+ 'ind-' || cast(user_id as string) as ioc, case when event_id % 17 = 0 then null else 'feed' || cast(event_id % 25 as string) end as feed,
+ case event_id % 6 when 0 then 'Critical' when 1 then 'High' when 2 then 'Medium' when 3 then 'Low' when 4 then 'Unknown' else null end as severity,
+ case when event_id % 11 = 0 then null else cast(event_id % 100 as double) / 100 end as confidence,
+ case when event_id % 7 = 0 then null else cast(event_id * 7 % 100 as double) / 100 end as fused_confidence,
+ cast(ts as timestamp) - interval '3' hour as timestamp, case when event_id % 13 = 0 then null else cast(ts as timestamp) end as ingested_at,
+ event_id % 2 = 0 as verified, '' as reasoning, false as deobfuscated from events"""
+
+# Feed checks: the event log read as a fetch log.
+FEED_CHECKS = """select 'feed' || cast(user_id % 40 as string) as feed, event_type <> 'error' as success, value as response_time,
+ cast(ts as timestamp) as checked_at, event_id as seq from events"""
+FEEDS = """select 'feed' || cast(s_suppkey % 60 as string) as name, min('https://feeds.example.net/' || cast(s_suppkey % 60 as string)) as url,
+ min(case s_nationkey % 3 when 0 then 'blog' when 1 then 'government' else 'threat_feed' end) as category,
+ min(case when s_suppkey % 60 % 4 = 0 then null when s_suppkey % 60 % 4 = 1 then 'high' else 'low' end) as priority
+ from supplier group by s_suppkey % 60"""
+
+
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, VERDICTS, "documents")
+
+
+def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports with feed reliability and time, ready for refang."""
+    docs = reports(spark, sf_dir)
+    # one row per feed; a table of feeds is small next to any table of reports,
+    # and the optimizer checks its size before choosing to broadcast it
+    docs = docs.join(view(spark, sf_dir, RELIABILITY, "documents"), "feed", "left")
+    return docs.selectExpr("*", f"{report_time()} as seen_at")
+
+
+def ioc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, IOC_STORE, "events")
