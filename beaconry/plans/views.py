@@ -129,3 +129,32 @@ def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ioc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, IOC_STORE, "events")
+
+# Mentions: two to seven indicators per brief report. Briefs fall in 60 families
+# that share indicators; a few also name one hub, which ties families together.
+_BRIEF = "select doc_id, source as feed, doc_id % 60 as k, cast(floor(doc_id / 60) as bigint) as r from documents"
+_BRIEF_ROWS = f"""select doc_id, feed, k, 1 as place, '45.' || cast(k as string) || '.' || cast(r % 5 as string) || '.7' as ioc, 'ip' as type from ({_BRIEF}) b1
+ union all select doc_id, feed, k, 2, 'c' || cast(k as string) || '.evil.top', 'domain' from ({_BRIEF}) b2
+ union all select doc_id, feed, k, 3, md5(cast(k as string) || 'm' || cast(r % 2 as string)), 'md5' from ({_BRIEF}) b3 where r % 4 <> 3
+ union all select doc_id, feed, k, 3 + p, 'http://x' || cast(k as string) || '.evil.ru/' || cast(p as string), 'url' from ({_BRIEF}) b4, (select explode_p as p from (P4)) ps where doc_id % 50 = 1"""
+_P4 = "select 1 as explode_p union all select 2 union all select 3 union all select 4"
+
+
+def mentions_sql(hub: bool = True) -> str:
+    rows = _BRIEF_ROWS.replace("(P4)", f"({_P4}) p4")
+    if hub:
+        rows += f" union all select doc_id, feed, k, 9, 'hub.evil.top', 'domain' from ({_BRIEF}) b5 where doc_id % 20 = 0"
+    return (
+        "select 'art-' || cast(doc_id as string) as context_id, place, ioc, type, "
+        f"cast((doc_id * 7 + place * 13) % 60 as double) / 100 + 0.3e0 as confidence, feed, {report_time()} as seen_at, k from ({rows}) m"
+    )
+
+
+LATE = "timestamp '2024-01-02 21:00:00'"
+MENTIONS = mentions_sql()
+MENTIONS_PLAIN = mentions_sql(hub=False)
+REVIEWED = "select 'c' || cast(k as string) || '.evil.top' as id, k % 2 = 0 as reviewed from (select distinct doc_id % 60 as k from documents) where k % 3 = 0"
+
+
+def mentions(spark: SparkSession, sf_dir: str, hub: bool = True) -> DataFrame:
+    return view(spark, sf_dir, MENTIONS if hub else MENTIONS_PLAIN, "documents").drop("k")
