@@ -343,3 +343,31 @@ def values_of_type(docs: DataFrame, kind: str, keep: list[str], text: str = "cle
         .select(*keep, F.explode("_hits").alias("value"))
         .select(*keep, F.lit(kind).alias("type"), "value")
     )
+
+
+def pattern_items(docs: DataFrame, text: str, keep: list[str], public_only: bool = True) -> DataFrame:
+    """Every distinct (lower-cased value, type) the bare patterns find, with flags.
+
+    Only impossible addresses are dropped, and with ``public_only`` addresses
+    outside the public range. Domains carry three flags: ``listed`` (exactly a
+    blocked name), ``file_name`` and ``in_url``.
+    """
+    arrays = []
+    for kind in C.INDICATOR_TYPES:
+        hits = f"if({_may_hold(text, kind)}, regexp_extract_all({text}, {q(_pattern(kind))}, 0), array())"
+        if kind == "ip":
+            tests = is_ipv4("v") + (f" and not {is_non_public_ip('v')}" if public_only else "")
+            hits = f"filter({hits}, v -> {tests})"
+        arrays.append(mapped(hits, lambda h, kind=kind: f"named_struct('value', lower(trim({h})), 'type', {q(kind)})"))
+    staged = docs.withColumn(_HEX32, F.expr(f"{text} rlike {q(r'(?U)[a-fA-F\d]{32}')}"))
+    urls = f"lower(array_join(regexp_extract_all({text}, {q(_pattern('url'))}, 0), '\n'))"
+    staged = staged.withColumn("_urls", F.expr(f"if(contains({text}, '://'), {urls}, '')"))
+    items = with_computed(staged, "_items", F.expr(f"array_distinct(concat({', '.join(arrays)}))"))
+
+    def flag(test: str):
+        return F.expr(f"x.type = 'domain' and {test}")
+
+    return items.select(*keep, "_urls", F.explode("_items").alias("x")).select(
+        *keep, "x.value", "x.type", flag(one_of("x.value", C.BLOCKED_DOMAINS)).alias("listed"),
+        flag(is_file_name("x.value")).alias("file_name"), flag("contains(_urls, x.value)").alias("in_url"),
+    )

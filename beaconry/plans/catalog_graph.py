@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from beaconry.functions.lineage import cut
 from beaconry.operators import campaigns as P
 from beaconry.operators import communities as M
 from beaconry.operators import graph as G
@@ -44,8 +45,11 @@ _COMP = """sym as (select a, b from proj union select b, a from proj),
 
 
 def graph_of(spark, sf_dir, hub=True):
+    """Snapshot of nodes and edges, as readers of the graph see it: stored once,
+    then read as often as a query needs."""
     reviewed = V.view(spark, sf_dir, V.REVIEWED, "documents")
-    return G.update(V.mentions(spark, sf_dir, hub), None, reviewed)
+    nodes, edges = G.update(V.mentions(spark, sf_dir, hub), None, reviewed)
+    return cut(nodes), cut(edges)
 
 
 def kg_nodes(spark, sf_dir):
@@ -103,8 +107,9 @@ def kg_node_details(spark, sf_dir):
 
 
 def projection(spark, sf_dir, hub=True):
-    nodes, edges = graph_of(spark, sf_dir, hub)
-    return nodes.where("type <> 'context'"), M.project(nodes, edges)
+    mentions = V.mentions(spark, sf_dir, hub)
+    nodes = G.fold_nodes(mentions)
+    return nodes, M.project(nodes, G.pair_edges(mentions))
 
 
 def campaign_projection(spark, sf_dir):
@@ -129,14 +134,14 @@ def communities_hub(spark, sf_dir):
 
 # campaigns: families as communities, nodes folded from the mentions
 def members(spark, sf_dir):
-    rows = V.view(spark, sf_dir, V.MENTIONS_PLAIN, "documents")
+    rows = V.mention_rows(spark, sf_dir, hub=False)
     family = rows.select(F.col("ioc").alias("id"), F.concat(F.lit("f"), F.col("k").cast("string")).alias("community")).distinct()
     grouped = P.groups(family)
     return grouped.join(G.fold_nodes(rows), "id")
 
 
 def campaigns(spark, sf_dir):
-    sources = G.provenance(V.view(spark, sf_dir, V.MENTIONS_PLAIN, "documents"))
+    sources = G.provenance(V.mention_rows(spark, sf_dir, hub=False))
     detected = F.expr("last_seen + interval '6' hour")
     return P.enrich(members(spark, sf_dir), F.lit(None).cast("timestamp"), sources).withColumn("detected_at", detected)
 

@@ -156,5 +156,28 @@ MENTIONS_PLAIN = mentions_sql(hub=False)
 REVIEWED = "select 'c' || cast(k as string) || '.evil.top' as id, k % 2 = 0 as reviewed from (select distinct doc_id % 60 as k from documents) where k % 3 = 0"
 
 
+_MENTION_ARRAY = """filter(array(
+ named_struct('place', 1, 'ioc', '45.' || string(k) || '.' || string(r % 5) || '.7', 'type', 'ip', 'keep', true),
+ named_struct('place', 2, 'ioc', 'c' || string(k) || '.evil.top', 'type', 'domain', 'keep', true),
+ named_struct('place', 3, 'ioc', md5(string(k) || 'm' || string(r % 2)), 'type', 'md5', 'keep', r % 4 <> 3),
+ named_struct('place', 4, 'ioc', 'http://x' || string(k) || '.evil.ru/1', 'type', 'url', 'keep', doc_id % 50 = 1),
+ named_struct('place', 5, 'ioc', 'http://x' || string(k) || '.evil.ru/2', 'type', 'url', 'keep', doc_id % 50 = 1),
+ named_struct('place', 6, 'ioc', 'http://x' || string(k) || '.evil.ru/3', 'type', 'url', 'keep', doc_id % 50 = 1),
+ named_struct('place', 7, 'ioc', 'http://x' || string(k) || '.evil.ru/4', 'type', 'url', 'keep', doc_id % 50 = 1),
+ named_struct('place', 9, 'ioc', 'hub.evil.top', 'type', 'domain', 'keep', HUB and doc_id % 20 = 0)), x -> x.keep)"""
+
+
+def mention_rows(spark: SparkSession, sf_dir: str, hub: bool = True) -> DataFrame:
+    """The rows of ``mentions_sql`` from a single scan."""
+    rows = view(spark, sf_dir, _BRIEF, "documents").selectExpr(
+        "doc_id", "feed", "k", f"explode({_MENTION_ARRAY.replace('HUB', str(hub).lower())}) as x"
+    )
+    return rows.selectExpr(
+        "'art-' || string(doc_id) as context_id", "x.place as place", "x.ioc as ioc", "x.type as type",
+        "cast((doc_id * 7 + x.place * 13) % 60 as double) / 100 + 0.3D as confidence", "feed",
+        f"{report_time()} as seen_at", "k",
+    )
+
+
 def mentions(spark: SparkSession, sf_dir: str, hub: bool = True) -> DataFrame:
-    return view(spark, sf_dir, MENTIONS if hub else MENTIONS_PLAIN, "documents").drop("k")
+    return mention_rows(spark, sf_dir, hub).drop("k")
