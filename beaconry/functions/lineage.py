@@ -2,8 +2,16 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def work_folder(spark: SparkSession) -> str:
+    """Fresh folder on the shared storage of the cluster, for tables and stream
+    checkpoints; a temporary folder only where no shared one is named."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ EXTRACTED = (
     "select l_orderkey as sample, ' v' || cast(l_partkey % 40 as string) || ' ' as value, 'T' || cast(l_linenumber as string) as type, "
     "cast(10 + l_partkey % 90 as double) / 100 as confidence from lineitem where l_partkey % 7 <> 0 and l_quantity > 3"
 )
-MODELS = f"""select e.*, m.model from ({EXTRACTED}) e join (select 'small' as model, 2 as n union all select 'medium', 5 union all select 'large', 11) m on cast(e.confidence * 100 as bigint) % m.n <> 0"""
+MODELS = f"""select e.*, m.model from ({EXTRACTED}) e join (select 'small' as model, 2 as n union all select 'medium', 5 union all select 'large', 11) m on cast(round(e.confidence * 100) as bigint) % m.n <> 0"""
 SAMPLES = "select o_orderkey as sample, case o_orderpriority when '1-URGENT' then 'true_positive' when '2-HIGH' then 'true_negative' when '3-MEDIUM' then 'obfuscated' else 'edge_case' end as category from orders"
 TIMINGS = "select event_type as stage, value as ms from events"
 

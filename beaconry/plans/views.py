@@ -118,6 +118,18 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, VERDICTS, "documents")
 
 
+def over(rows: DataFrame, name: str, sql: str) -> DataFrame:
+    """Run view SQL with ``rows`` (a batch or a stream) in place of a given table."""
+    rows.createOrReplaceTempView(name)
+    return rows.sparkSession.sql(sql)
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as a stream of files."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports with feed reliability and time, ready for refang."""
     docs = reports(spark, sf_dir)
@@ -168,8 +180,12 @@ _MENTION_ARRAY = """filter(array(
 
 
 def mention_rows(spark: SparkSession, sf_dir: str, hub: bool = True) -> DataFrame:
+    return mention_rows_of(table(spark, sf_dir, "documents"), hub)
+
+
+def mention_rows_of(documents: DataFrame, hub: bool = True) -> DataFrame:
     """The rows of ``mentions_sql`` from a single scan."""
-    rows = view(spark, sf_dir, _BRIEF, "documents").selectExpr(
+    rows = over(documents, "documents", _BRIEF).selectExpr(
         "doc_id", "feed", "k", f"explode({_MENTION_ARRAY.replace('HUB', str(hub).lower())}) as x"
     )
     return rows.selectExpr(
