@@ -180,10 +180,11 @@ def bootstrap(
     """
     scores = counts(matched, "sample")
     per_sample = samples.select("sample").join(scores, "sample", "left").fillna(0, ["tp", "fp", "fn"])
-    draws = F.transform(
-        F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: poisson_count(uniform(F.col("sample"), r, seed))
-    )
-    weighted = per_sample.select("tp", "fp", "fn", F.posexplode(draws).alias("replicate", "times")).where(F.col("times") > 0)
+    # explode first, draw after: the draw then runs in generated code, and the
+    # uniform number is its own projection, computed once per row
+    drawn = per_sample.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    drawn = drawn.withColumn("_u", uniform(F.col("sample"), F.col("replicate"), seed))
+    weighted = drawn.select("tp", "fp", "fn", "replicate", poisson_count(F.col("_u")).alias("times"))
     sums = weighted.groupBy("replicate").agg(*[F.sum(F.col("times") * F.col(c)).alias(c) for c in ("tp", "fp", "fn")])
     return percentile_interval(with_prf(sums), micro(matched), replicates, level)
 
@@ -193,7 +194,7 @@ def poisson_count(u: Column) -> Column:
     total, term, out = 0.0, 0.36787944117144233, F.lit(0)
     for k in range(12):
         total += term
-        out = F.when(u >= total, F.lit(k + 1)).otherwise(out)
+        out = out + (u >= total).cast("int")
         term /= k + 1
     return out
 
