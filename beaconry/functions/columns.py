@@ -26,6 +26,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Broadcast hint for a side with at most ``rows`` rows; larger sides join by
+    shuffle. The check stops counting at the limit."""
+    return F.broadcast(df) if df.select(F.lit(1)).limit(rows + 1).count() <= rows else df
+
+
 def lookup(key: Column, table: dict, default) -> Column:
     """Small fixed lookup table as a codegen-friendly CASE expression."""
     by_value: dict = {}

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beaconry import constants as C
-from beaconry.functions.columns import lookup
+from beaconry.functions.columns import broadcast_if_small, lookup
 from beaconry.functions.sqltext import occurrences
 from beaconry.operators import graph as G
 
@@ -67,7 +67,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, subtechnique
     sub-techniques twice as many are fetched first.
     """
     fetch = k if subtechniques else 2 * k
-    pairs = vectors.crossJoin(F.broadcast(queries)) if _is_small(queries) else vectors.crossJoin(queries)
+    pairs = vectors.crossJoin(broadcast_if_small(queries, 10_000))
     squared = F.aggregate(
         F.zip_with("q_embedding", "embedding", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))),
         F.lit(0.0), lambda acc, x: acc + x,
@@ -83,10 +83,6 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, subtechnique
     return fetched.select("query_id", "id", "rank", F.round(1 / (1 + F.col("distance")), 3).alias("similarity"))
 
 
-def _is_small(df: DataFrame, limit: int = 10_000) -> bool:
-    return df.select(F.lit(1)).limit(limit + 1).count() <= limit
-
-
 def technique_text(techniques: DataFrame) -> DataFrame:
     tail = F.when(F.size("tactics") > 0, F.concat(F.lit(" Tactics: "), F.array_join("tactics", ", "))).otherwise(F.lit(""))
     return techniques.select("id", F.concat("id", F.lit(" "), "name", F.lit(": "), F.left("description", F.lit(500)), tail).alias("text"))

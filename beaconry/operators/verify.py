@@ -190,8 +190,10 @@ def normalize(
             "value", "type", F.col("confidence").alias("v_conf"), F.col("is_valid").alias("v_valid"),
             F.col("reasoning").alias("v_reason"),
         )
-        # rows outside the gate carry a NULL key and so meet no verdict
-        rows = rows.withColumn("_key", F.when(F.col("_gate"), F.col("value"))).join(
+        # rows outside the gate get a key no verdict has, different for each row,
+        # so they spread over all join partitions instead of meeting under NULL
+        spare = F.concat_ws("\n", F.lit(""), F.col("doc_id"), F.col("value"))
+        rows = rows.withColumn("_key", F.when(F.col("_gate"), F.col("value")).otherwise(spare)).join(
             known.withColumnRenamed("value", "_key"), ["_key", "type"], "left"
         )
     else:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beaconry.functions.columns import spread
+from beaconry.functions.columns import broadcast_if_small, spread
 
 BACKSLASH = "chr(92)"
 NEWLINE = "chr(10)"
@@ -133,9 +133,8 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports with feed reliability and time, ready for refang."""
     docs = reports(spark, sf_dir)
-    # one row per feed; a table of feeds is small next to any table of reports,
-    # and the optimizer checks its size before choosing to broadcast it
-    docs = docs.join(view(spark, sf_dir, RELIABILITY, "documents"), "feed", "left")
+    # one row per feed: a checked broadcast keeps the texts where they are
+    docs = docs.join(broadcast_if_small(view(spark, sf_dir, RELIABILITY, "documents")), "feed", "left")
     return docs.selectExpr("*", f"{report_time()} as seen_at")
 
 
