@@ -45,6 +45,15 @@ def extract_scored(spark, sf_dir):
     return found.select("doc_id", "place", "value", "type", F.round("confidence", 4).alias("confidence"), "snippet")
 
 
+# Full-width letters, which only Unicode normal form turns into plain ones.
+WIDE = "select doc_id, text || case doc_id % 3 when 0 then ' ｅｖｉｌ．ｔｏｐ' else '' end as text from documents"
+
+
+def refang_nfkc(spark, sf_dir):
+    docs = R.only(V.view(spark, sf_dir, WIDE, "documents"), "nfkc")
+    return docs.where("was_modified").select("doc_id", "clean", "was_modified")
+
+
 QUERIES = {
     "refang_documents": (
         refang_documents,
@@ -58,6 +67,10 @@ QUERIES = {
 }
 for _rule in R.RULES:
     QUERIES[f"refang_{_rule}"] = (refang_rule(_rule), O.refang_rule(_rule) if _rule in O.RULE_STEPS else None)
+QUERIES["refang_nfkc"] = (
+    refang_nfkc,
+    f"select doc_id, translate(text, 'ｅｖｉｌ．ｔｏｐ', 'evil.top') as clean, true as was_modified from ({WIDE}) where doc_id % 3 = 0",
+)
 for _kind in C.INDICATOR_TYPES:
     QUERIES[f"extract_{_kind}"] = (extract_kind(_kind), O.extract_kind(_kind))
 QUERIES["extract_scored"] = (extract_scored, O.extract_scored())
