@@ -1,9 +1,12 @@
 """The operators' registered queries: name -> (Spark query, SQL twin or None)."""
 from __future__ import annotations
 
-from beaconry.llm import minhash, mixing
+from beaconry.llm import decontaminate, embedding, minhash, mixing, toxicity
 
 QUERIES = {
+    "op2_bm25_wand": (decontaminate.op2_bm25_wand, None),
+    "op4_lexicon": (toxicity.op4_lexicon, None),
     "op7_minhash": (minhash.op7_minhash, None),
+    "op8_range_join": (embedding.op8_range_join, embedding.ORACLE),
     "op9_mix": (mixing.op9_mix, mixing.ORACLE),
 }

@@ -10,11 +10,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beaconry.llm import minhash, mixing
+from beaconry.llm import decontaminate, minhash, mixing, toxicity
 from beaconry.llm.common import fresh_folder
 
 STAGES = [
+    ("toxicity", toxicity.stage),
     ("minhash_near_dedup", minhash.stage),
+    ("decontamination", decontaminate.stage),
     ("mixing", mixing.stage),
 ]
 
