@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beaconry.llm.common import block_pairs, components, cut, group_labels, map_groups, map_rows, mix64, shingle_hashes, table, text_chunks, word_hashes
+from beaconry.llm.common import FILTER_BITS, bit_filter, block_pairs, components, cut, group_labels, map_groups, map_rows, mix64, shingle_hashes, table, text_chunks, word_hashes
 
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -37,8 +37,6 @@ COORDINATES = 64
 MATCHES = 42
 #: Members in a block: two blocks of signatures or sets are all that a task holds.
 BLOCK = 512
-#: Bits of the filter that spares reading the sets of documents without candidates (2 MB).
-FILTER_BITS = 1 << 24
 
 U64 = np.uint64
 _FACTORS = mix64(np.arange(1, COORDINATES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
@@ -176,21 +174,11 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     documents are stored or shuffled: a bit filter of fixed size tells each task
     which texts may be needed, and a join on the id removes its false hits.
     """
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    rows = (
-        wanted.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-    )
-    filter_bits = np.zeros((FILTER_BITS // 32768 + 2, 4096), np.uint8)
-    for row in rows:
-        filter_bits[row.bucket] = np.frombuffer(row.bits, np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(filter_bits.tobytes())
+    passes = bit_filter(wanted)
 
     def pick(rows: dict) -> dict | None:
-        bits = np.frombuffer(sent.value, np.uint8)
-        at = np.array(rows["bit"], np.int64)
-        hit = np.flatnonzero((bits[(at // 32768 + 1) * 4096 + at % 32768 // 8] >> (at % 8).astype(np.uint8)) & 1)
-        if not len(hit):
+        hit = passes(rows["bit"])
+        if not hit:
             return None
         sets = shingle_sets([rows["text"][i] for i in hit])
         return {

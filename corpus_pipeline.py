@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beaconry.llm import decontaminate, minhash, mixing, toxicity
+from beaconry.llm import decontaminate, grammar, minhash, mixing, toxicity
 from beaconry.llm.common import fresh_folder
 
 STAGES = [
@@ -18,6 +18,7 @@ STAGES = [
     ("minhash_near_dedup", minhash.stage),
     ("decontamination", decontaminate.stage),
     ("mixing", mixing.stage),
+    ("token_output", grammar.stage),
 ]
 
 #: The stages learn weights, compare shingle sets and compress; SQL has no twin for them.
