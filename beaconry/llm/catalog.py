@@ -1,7 +1,7 @@
 """The operators' registered queries: name -> (Spark query, SQL twin or None)."""
 from __future__ import annotations
 
-from beaconry.llm import chaining, decontaminate, embedding, grammar, lengths, minhash, mixing, secrets, toxicity
+from beaconry.llm import chaining, decontaminate, embedding, grammar, lengths, minhash, mixing, mixing_model, secrets, toxicity
 
 QUERIES = {
     "op1_lengths": (lengths.op1_lengths, None),
@@ -9,6 +9,7 @@ QUERIES = {
     "op3_chaining": (chaining.op3_chaining, None),
     "op4_lexicon": (toxicity.op4_lexicon, None),
     "op5_repair": (grammar.op5_repair, None),
+    "op6_context_mixing": (mixing_model.op6_context_mixing, None),
     "op7_minhash": (minhash.op7_minhash, None),
     "op8_range_join": (embedding.op8_range_join, embedding.ORACLE),
     "op9_mix": (mixing.op9_mix, mixing.ORACLE),
