@@ -121,6 +121,8 @@ def expansion_lengths(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def expand(sequence: np.ndarray, left: np.ndarray, right: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Ids of a run of symbols. Each step writes a symbol's left side in place and its
     right side behind it, all symbols at once; the lengths give the places."""
+    if not len(left):
+        return sequence
     size = np.where(sequence < TERMINALS, 1, lengths[np.maximum(sequence - TERMINALS, 0)])
     out = np.zeros(int(size.sum()), np.int64)
     at = np.cumsum(size) - size

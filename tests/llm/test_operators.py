@@ -1,0 +1,325 @@
+"""Every operator against a brute-force version, on edge rows, on an empty table and with clashing columns."""
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from beaconry.llm import chaining, common, decontaminate, embedding, encode, grammar, lengths, minhash, mixing, mixing_model, secrets, toxicity
+
+LABEL = "doc_id long, quality int, toxic int"
+
+
+def key(row):
+    return repr(row)
+
+
+def labels_of(spark, corpus):
+    return spark.createDataFrame([(r[0], None, None if r[0] in (5, None) else int(r[0] % 4 == 0)) for r in corpus], LABEL)
+
+
+def operators(spark, corpus):
+    labels = labels_of(spark, corpus)
+    items = spark.createDataFrame([(1, corpus[2][1]), (2, None), (3, ""), (3, "")], "item_id long, text string")
+    return {
+        "lengths": lambda d: lengths.sums(lengths.histogram(d)),
+        "leaks": lambda d: decontaminate.leaks(d, items),
+        "chaining": chaining.repeated,
+        "toxicity": lambda d: toxicity.scored(d, labels),
+        "grammar": lambda d: grammar.stored(spark, d),
+        "model": mixing_model.scored,
+        "minhash": minhash.near_duplicates,
+        "mixing": lambda d: mixing.with_copies(d).select("doc_id", "_mix.*"),
+        "secrets": secrets.scan,
+    }
+
+
+NAMES = ["lengths", "leaks", "chaining", "toxicity", "grammar", "model", "minhash", "mixing", "secrets"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_edges(spark, corpus, docs, clashing, nothing, name):
+    run = operators(spark, corpus)[name]
+    plain = sorted(run(docs).collect(), key=key)
+    if name not in ("lengths", "leaks"):
+        assert collections.Counter(r.doc_id for r in plain) == collections.Counter(r[0] for r in corpus)
+    again = sorted(run(clashing).collect(), key=key)
+    rounded = lambda rows: [tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows]
+    assert rounded(again) == rounded(plain)
+    assert run(nothing).collect() == []
+
+
+def word_list(text):
+    return (text or "").encode().lower().split()
+
+
+def reached(ids, links):
+    parent = {i: i for i in ids}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((top(a), top(b)))
+        parent[b] = a
+    return {i: top(i) for i in ids}
+
+
+def test_lengths(docs, corpus):
+    plain = encode.encoder(encode.default_path()).tokenizer
+    sizes = sorted(len(plain.encode(r[1] or "", add_special_tokens=False).ids) for r in corpus)
+    summed = lengths.sums(lengths.histogram(docs)).cache()
+    for r in summed.collect():
+        assert r.docs_upto == sum(s <= r.length for s in sizes) and r.docs_over == len(sizes) - r.docs_upto
+        assert r.tokens_upto == sum(s for s in sizes if s <= r.length) and r.tokens_over == sum(sizes) - r.tokens_upto
+        assert r.tokens_cut == sum(min(s, r.length) for s in sizes)
+    for r in lengths.at_limits(summed, [0, 50, 128, 10**6]).collect():
+        assert r.tokens_cut == sum(min(s, r.limit) for s in sizes) and r.docs_over == sum(s > r.limit for s in sizes)
+    for r in lengths.quantiles(summed, [0.1, 0.5, 0.99, 1.0]).collect():
+        assert r.length == sizes[math.ceil(r.share * len(sizes) - 1e-9) - 1]
+
+
+def test_leaks(spark):
+    item = "Alpha beta gamma delta. Epsilon zeta eta theta iota kappa? Lambda mu nu xi omicron pi rho."
+    others = [f"q{i} " + " ".join(f"t{100 * i + j}" for j in range(20)) for i in range(60)]
+    items = spark.createDataFrame([(0, item), *((i + 1, t) for i, t in enumerate(others))], "item_id long, text string")
+    filler = " ".join(f"f{i}" for i in range(150))
+    half = "Alpha beta gamma delta. Epsilon zeta eta theta"
+    docs = spark.createDataFrame(
+        [(1, f"{filler} {item.upper()} {filler}"), (2, f"{filler} {half} {filler}"), (3, filler), (4, others[5])], "doc_id long, text string"
+    )
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()) == [(1, 0), (4, 6)]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 30), min_size=3, max_size=25), min_size=1, max_size=40), st.lists(st.integers(0, 30), max_size=60))
+def test_wand_is_exact(items, passage):
+    index = decontaminate.Index([(i, " ".join(f"w{x}" for x in words)) for i, words in enumerate(items)])
+    hashes = np.unique(common.word_hashes([" ".join(f"w{x}" for x in passage)])[0])
+    query = [int(t) for t in np.flatnonzero(np.isin(index.terms, hashes))]
+    full = collections.defaultdict(float)
+    for t in query:
+        for i, x in zip(index.items[t], index.impacts[t]):
+            full[i] += x
+    assert {i for i, _ in index.wand(query, 0.4)} == {i for i, x in full.items() if x >= 0.4 - 1e-9}
+    windows = set(index.search([" ".join(f"w{x}" for x in passage)], 0.4, -1.0)) if passage else set()
+    if len(passage) <= decontaminate.WINDOW // 2:
+        assert {i for _, i, *_ in windows} == {i for i, x in full.items() if x >= 0.4 - 1e-9}
+
+
+def test_chains_match_quadratic_search():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        x, y = rng.integers(0, 120, 30), rng.integers(0, 120, 30)
+        order = np.lexsort((-y, x))
+        best = np.zeros(30)
+        for a, i in enumerate(order):
+            gains = [best[j] - chaining.GAP * (x[i] - x[j] + y[i] - y[j]) for j in order[:a] if x[j] < x[i] and y[j] < y[i]]
+            best[i] = chaining.GAIN + max([0.0, *gains])
+        found = chaining.chains(x, y)
+        i = int(best.argmax())
+        wide = [c for c in found if c[1] == x[i] + chaining.SEED and c[3] == y[i] + chaining.SEED]
+        assert wide or best.max() < chaining.GAIN + 8 or not found or max(c[1] - c[0] for c in found) >= chaining.SPAN
+
+
+def test_common_words():
+    assert chaining.common_words([1, 2, 3, 9, 4], [1, 7, 3, 4]) == 3
+    assert chaining.common_words([], [1]) == 0 and chaining.common_words([5] * 200, [5] * 130) == 130
+
+
+def test_shared_passages(docs, corpus):
+    got = {r.doc_id: r for r in chaining.repeated(docs).collect() if r.doc_id is not None}
+    first = next(r[0] for r in corpus if (r[1] or "").startswith(corpus[50][1][:40]))
+    assert {got[i].component_id for i in (50, 51, 52)} == {first}
+    assert got[51].later_words >= 70 and got[52].later_words >= 60 and got[first].later_words == 0
+    assert got[40].component_id == 0 and got[43].component_id == 0 and got[7].n_links == 0
+
+
+def test_toxicity(spark):
+    rows, labels = [], []
+    for i in range(900):
+        bad = i % 3 == 0
+        words = [f"w{(i * 13 + j * 7) % 300}x" for j in range(40)]
+        if bad:
+            words[5:5] = ["V1llain", "villaіn,"]  # a digit, and a look-alike letter
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity.scored(docs, spark.createDataFrame(labels, LABEL)).collect()
+    assert all(r.predicted == int(r.doc_id % 3 == 0) and 0 <= r.score <= 1 for r in got)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    assert toxicity.stage.__doc__ and toxicity.fold("ІDI0T") == " idiot "
+
+
+def test_exception_phrase():
+    lexicon = toxicity.Lexicon({" kill": 2.0}, frozenset({("kill", "switch")}))
+    assert lexicon.features("the kill switch")[0] == 0 < lexicon.features("they kill")[0]
+
+
+def test_grammar_files(spark, docs, corpus):
+    plain = encode.encoder(encode.default_path()).tokenizer
+    ids = lambda t: [*plain.encode(t or "", add_special_tokens=False).ids, 2]
+    got = sorted(grammar.stored(spark, docs).collect(), key=lambda r: r.start)
+    keyed = [r.doc_id for r in got]
+    assert keyed == sorted(keyed, key=lambda d: (d is not None, d or 0))
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    want = collections.Counter((r[0], len(ids(r[1])), zlib.crc32(np.array(ids(r[1]), "<u4").tobytes())) for r in corpus)
+    assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 6), min_size=1, max_size=300), min_size=1, max_size=12))
+def test_grammar_round_trip(texts):
+    blobs = [np.array(t, "<u2").tobytes() for t in texts]
+    row = {k: v[0] for k, v in grammar._pack(0, 0, list(range(len(texts))), blobs).items()}
+    for n, t in enumerate(texts):
+        assert grammar.document(row, n).tolist() == t
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \t'sS.,é́Éß<|İſK½")), max_size=60))
+def test_encoder_is_exact(text):
+    ready = encode.encoder(encode.default_path())
+    assert np.frombuffer(ready.ids(text), "<u2").tolist() == ready.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_model(docs, corpus):
+    got = mixing_model.scored(docs).collect()
+    trained = [r for r in corpus if r[0] is None or zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    count = collections.Counter(w for r in trained for w in [*word_list(r[1]), b""])
+    n, v = sum(count.values()), len(count)
+    want = collections.Counter()
+    for r in corpus:
+        words = [*word_list(r[1]), b""]
+        want[r[0], len(words), sum(count[w] > 0 for w in words), round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in words), 4)] += 1
+    assert collections.Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 4)) for r in got) == want
+    assert all(r.train_tokens == n and r.score < 0 for r in got)
+
+
+def test_model_is_a_distribution():
+    """All one-byte continuations of a word sum to one."""
+    code = mixing_model.Code(np.ones(mixing_model.SYMBOLS, np.int64))
+    rng = np.random.default_rng(1)
+    model = mixing_model.Model(code, [rng.integers(0, 65536, 1 << bits).astype(np.uint16) for bits in mixing_model.SLOT_BITS])
+    words = [b""] + [bytes([b]) for b in range(256) if b not in (9, 10, 11, 12, 13, 32)]
+    word, bit, begun, slots = mixing_model.spelled(code, np.zeros(len(words), np.int64), words)
+    first = np.concatenate([np.arange(len(bit))[word == w][: code.size[words[w][0] if words[w] else mixing_model.END_OF_TEXT]] for w in range(len(words))])
+    z = model._refine(*model._mixed(begun, slots))
+    logs = np.bincount(word[first], -np.log1p(np.exp(-np.where(bit == 1, z, -z)))[first])
+    assert 0 < np.exp(logs).sum() <= 1 + 1e-6
+
+
+def test_near_duplicates(docs, corpus):
+    texts = {}
+    for r in corpus:
+        if r[0] is not None:
+            texts.setdefault(r[0], r[1])
+    sets = {}
+    for d, t in texts.items():
+        w = word_list(t)
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = reached(sets, links)
+    got = [r for r in minhash.near_duplicates(docs).collect() if r.doc_id is not None]
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {d: (len(s), want[d], want[d] == d) for d, s in sets.items()}
+
+
+@pytest.mark.parametrize("block", [2, 7])
+def test_large_groups_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(["z"] * 0 + base[:i] + [f"n{i}"] + base[i + 1 :])) for i in range(30)] + [(99, "quite another text of seven words")]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{i: 0 for i in range(30)}, 99: 99}
+
+
+@pytest.mark.parametrize("per_pivot, block", [(3, 4), (50, 512)])
+def test_range_join(spark, monkeypatch, per_pivot, block):
+    monkeypatch.setattr(embedding, "PER_PIVOT", per_pivot)
+    monkeypatch.setattr(embedding, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 6))
+    x[40:80] = x[:40] + rng.normal(scale=0.12, size=(40, 6))
+    x[80:90] = x[0]
+    vectors = [list(map(float, v)) for v in x] + [None, [0.0] * 6, [1.0, None, 0.0, 0.0, 0.0, 0.0], [float("nan")] + [1.0] * 5, [1.0, 2.0]]
+    labels = [None if i % 17 == 5 else i % 2 for i in range(len(vectors))]
+    rows = [(i, v, label, "x") for i, (v, label) in enumerate(zip(vectors, labels))]
+    got = embedding.range_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, links string")).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = [(a, b) for a in range(120) for b in range(120) if a != b and labels[a] == labels[b] is not None and u[a] @ u[b] >= 0.98]
+    want, degree = reached(range(len(vectors)), links), collections.Counter(a for a, _ in links)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (degree[i], want[i]) for i in range(len(vectors))}
+    assert embedding.range_join(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
+
+
+def test_mixture(spark, docs, corpus):
+    rows = mixing.with_copies(docs).select("doc_id", "source", "_mix.*").collect()
+    sizes = collections.Counter()
+    for r in corpus:
+        sizes[r[3]] += len(word_list(r[1]))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, left, free = {}, float(sum(sizes.values())), set(order)
+    while free:
+        unit = left / sum(weight[s] for s in free)
+        full = {s for s in free if 3 * sizes[s] <= unit * weight[s]}
+        if not full:
+            target.update({s: unit * weight[s] for s in free})
+            break
+        target.update({s: 3.0 * sizes[s] for s in full})
+        left -= sum(3.0 * sizes[s] for s in full)
+        free -= full
+    for r in rows:
+        assert r.target == pytest.approx(target[r.source]) and r.source_size == sizes[r.source]
+        assert math.floor(r.rate) <= r.copies <= min(3, math.floor(r.rate) + 1)
+    assert mixing.emit(docs).count() == sum(r.copies for r in rows) and mixing.emit(docs).columns == docs.columns
+
+
+def test_secrets(spark):
+    texts = [
+        'x TOKEN: "abcdefghijkl" secret=short', "AKIA" + "A" * 14 + " AKIA" + "A" * 13, "id 0123456789abcdef0 deadbeef", "ſecret=abcdefghijklmnop é token=é",
+        "random Qm9vLk3xZp8TtRw2Vn5YhJ7c word", "uuid 123e4567-e89b-12d3-a456-426614174000", None, "", "password=api_key=abcdefghijklmnop",
+    ]
+    kinds = (
+        ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 12),
+        ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18), ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 16),
+    )
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        spans = sorted((m.start(), n, m.end(), name) for n, (name, p, good) in enumerate(kinds) for m in p.finditer(text or "") if good(m))
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, e, k in spans).encode()).hexdigest()
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(k == name for *_, k in spans) for name, _, _ in kinds)
+    assert got[4].n_random == 1 and got[5].n_random == 0
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (50, 75), (7, 7)]
+    got = {r.id: r.root for r in common.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {**{i: 1 for i in range(1, 41)}, 50: 50, 75: 50, 100: 50}
+
+
+def test_checkpoint_folder_is_required_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default: default)
+
+    with pytest.raises(RuntimeError):
+        common.shared_folder(Session())
