@@ -8,14 +8,14 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 WORD_BPE = "word_bpe_49k.json"
 #: Words a worker remembers (about 150 MB); beyond that it starts anew.
 CACHE_WORDS = 1_000_000
-#: Lower-case Latin letters, for which normalizing and splitting change nothing.
-_LATIN = re.compile("[a-zß-öø-ÿ]+")
+#: Latin letters, for which normalizing only lowers and splitting changes nothing, then punctuation (no
+#: apostrophe, which opens suffixes), which is one piece of its own.
+_LATIN = re.compile(r"([a-zß-öø-ÿÀ-ÖØ-Þ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class WordEncoder(dict):
@@ -27,29 +27,35 @@ class WordEncoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         # the byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for letters from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
-        self.tail = {mark: self._plain(mark.decode()) for mark in (b".", b",")}
+        self.marks: dict[str, bytes] = {"": b""}
 
     def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _letters(self, text: str) -> bytes:
         """Ids of one word of Latin letters: the merges alone, without normalizing and splitting."""
         shown = text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
-        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u2").tobytes()
+        return array("H", [t.id for t in self.merge(shown)]).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        # punctuation after a letter is a token of its own
-        if word[-1:] in self.tail and b"a" <= word[-2:-1] <= b"z":
-            ids = self[word[:-1]] + self.tail[word[-1:]]
+            self.marks = {"": b""}
+        text = word.decode("utf-8", "replace")
+        parts = _LATIN.fullmatch(text)
+        if not parts:
+            ids = self._plain(text)
+        elif not parts[2]:
+            ids = self._letters(text.lower())
         else:
-            text = word.decode("utf-8", "replace")
-            ids = self._letters(text) if _LATIN.fullmatch(text) else self._plain(text)
+            if parts[2] not in self.marks:
+                self.marks[parts[2]] = self._plain(parts[2])
+            ids = self[parts[1].lower().encode()] + self.marks[parts[2]]
         self[word] = ids
         return ids
 
