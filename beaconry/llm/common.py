@@ -44,6 +44,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write to shared storage and read back, for loops: a checkpoint would keep the size
+    estimate of its plan, which joins multiply from round to round without end."""
+    path = fresh_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def map_rows(df: DataFrame, schema: str, each: Callable[[dict[str, list]], dict[str, list] | None], rows: int = 512) -> DataFrame:
     """``each`` turns column lists of at most ``rows`` input rows into column lists of output rows."""
     from pyspark.sql.types import StructType
@@ -208,7 +216,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     aggregates, which combine before the shuffle, and equi-joins, which adaptive
     execution splits. Raises when it has not settled, never returns half a result.
     """
-    now = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    now = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     check = None
     for _ in range(rounds):
         row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -222,7 +230,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         base = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(base, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.union(base.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        now = stored(small.union(base.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
     raise RuntimeError(f"components did not settle within {rounds} rounds")
 
 
