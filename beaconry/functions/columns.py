@@ -16,13 +16,19 @@ def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select(*rest, F.explode(F.array(value)).alias(name))
 
 
+#: Inputs above this many bytes are never dealt anew: they have splits enough, and their texts stay where they are.
+SPREAD_BYTES = 1 << 28
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Split an input that has fewer scan partitions than the cluster has slots.
+    """Deal out an input of a single file that has fewer scan partitions than the session has slots.
 
-    Only small inputs are affected (one file, one row group); a large table is
-    already cut into more splits than slots and passes through without a shuffle.
+    This only concerns inputs of up to ``SPREAD_BYTES`` (one row group that cannot be
+    split); rows are the same either way. Anything larger passes through without a shuffle.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > SPREAD_BYTES:
+        return df
     return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
 
 

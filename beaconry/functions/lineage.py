@@ -7,22 +7,35 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    Only a local master may go without: there one machine runs everything, and a
+    temporary folder will do. On a cluster an unset folder is an error.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = context.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
 def work_folder(spark: SparkSession) -> str:
-    """Fresh folder on the shared storage of the cluster, for tables and stream
-    checkpoints; a temporary folder only where no shared one is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """Fresh folder on the shared storage, for tables and stream checkpoints."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` in the shared checkpoint folder and forget its history.
+    """Materialize ``df`` on the shared storage and forget its history.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only
-    where that is unset, as in local tests, a temporary folder is used.
+    A table is written and read back. checkpoint() would keep the size estimate of
+    the plan it replaces, and loops multiply such estimates with every join, until
+    planning itself never ends.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    path = work_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

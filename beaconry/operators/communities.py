@@ -1,7 +1,6 @@
 """Connected components and modularity communities as DataFrame jobs."""
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,18 +69,21 @@ def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0)
     return row.i / row.m2 - resolution * row.s / (row.m2 * row.m2)
 
 
-def _move(edges: DataFrame, total: float, resolution: float, max_rounds: int) -> DataFrame:
+def _move(edges: DataFrame, total: float, resolution: float, most_rounds: int = 200) -> DataFrame:
     """Local moving phase: id, community.
 
     All nodes pick their best neighbouring community at once. Rounds alternate
-    between moves to smaller and to larger names, so two nodes never swap places.
+    between moves to smaller and to larger names, so two nodes never swap places,
+    and from the fourth pair of rounds on a hash lets only half of the nodes move,
+    which ends longer cycles. Two quiet full rounds end the phase; a phase that finds
+    no rest raises instead of returning a half-settled partition.
     """
     links = cut(_symmetric(edges))
     strength = links.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k"))
     between = links.where("a <> b")
     state = cut(strength.select("id", "k", F.col("id").alias("c")))
     quiet = 0
-    for turn in range(max_rounds):
+    for turn in range(most_rounds):
         volume = state.groupBy(F.col("c").alias("to")).agg(F.sum("k").alias("vol"))
         # the current community is always an option, with whatever weight leads into it
         toward = between.join(state.select(F.col("id").alias("b"), F.col("c").alias("to")), "b").select(F.col("a").alias("id"), "to", "w")
@@ -91,6 +93,8 @@ def _move(edges: DataFrame, total: float, resolution: float, max_rounds: int) ->
         others = F.col("vol") - F.when(own, F.col("k")).otherwise(0.0)
         gain = F.round(F.col("w_to") - F.lit(resolution / total) * F.col("k") * others, 9)
         allowed = own | ((F.col("to") < F.col("c")) == F.lit(turn % 2 == 0))
+        if turn >= 8 and quiet == 0:
+            allowed = own | (allowed & (F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0))
         # highest gain; ties: stay, then the smaller name
         best = scored.where(allowed).groupBy("id").agg(
             F.first("k").alias("k"), F.first("c").alias("c"), F.min_by("to", F.struct((-gain).alias("g"), (~own).alias("o"), "to")).alias("to")
@@ -98,71 +102,18 @@ def _move(edges: DataFrame, total: float, resolution: float, max_rounds: int) ->
         moved = cut(best.select("id", "k", F.col("to").alias("c"), (F.col("to") != F.col("c")).alias("moved")))
         quiet = 0 if moved.where("moved").limit(1).count() else quiet + 1
         state = moved.drop("moved")
-        if quiet == 2:
-            break
-    return state.select("id", F.col("c").alias("community"))
-
-
-def _settle(edges: list[tuple[str, str, float]], total: float, resolution: float) -> dict[str, str]:
-    """Node -> community of one bounded component: greedy moves in name order,
-    then contraction, until nothing moves."""
-    names = sorted({x for a, b, _ in edges for x in (a, b)})
-    label = {n: n for n in names}
-    while True:
-        near: dict = {}
-        loop: dict = {}
-        for a, b, w in edges:
-            if a == b:
-                loop[a] = loop.get(a, 0.0) + 2 * w
-            else:
-                for x, y in ((a, b), (b, a)):
-                    row = near.setdefault(x, {})
-                    row[y] = row.get(y, 0.0) + w
-        level = sorted(set(near) | set(loop))
-        strength = {n: sum(near.get(n, {}).values()) + loop.get(n, 0.0) for n in level}
-        home, volume = {n: n for n in level}, dict(strength)
-        moved_any, moving = False, True
-        while moving:
-            moving = False
-            for n in level:
-                here = home[n]
-                volume[here] -= strength[n]
-                weight = {here: 0.0}
-                for other, w in near.get(n, {}).items():
-                    weight[home[other]] = weight.get(home[other], 0.0) + w
-                gain = {c: round(w - resolution * strength[n] * volume[c] / total, 9) for c, w in weight.items()}
-                best = min(gain, key=lambda c: (-gain[c], c != here, c))
-                volume[best] += strength[n]
-                if best != here:
-                    home[n], moving, moved_any = best, True, True
-        if not moved_any:
-            return label
-        label = {n: home[c] for n, c in label.items()}
-        merged: dict = {}
-        for a, b, w in edges:
-            key = tuple(sorted((home[a], home[b])))
-            merged[key] = merged.get(key, 0.0) + w
-        edges = [(a, b, w) for (a, b), w in sorted(merged.items())]
-
-
-def _small_components(edges: DataFrame, total: float, resolution: float) -> DataFrame:
-    """``edges`` carry their component, each of bounded size."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(frame["a"], frame["b"], frame["w"]))
-        found = _settle(rows, total, resolution)
-        return pd.DataFrame({"id": list(found), "community": list(found.values())})
-
-    return edges.groupBy("component").applyInPandas(run, "id string, community string")
-
-
-def _large_components(edges: DataFrame, total: float, resolution: float, max_rounds: int, max_levels: int) -> DataFrame:
+        if quiet == 3:
+            return state.select("id", F.col("c").alias("community"))
+    raise RuntimeError(f"communities did not settle within {most_rounds} rounds")
+
+
+def _levels(edges: DataFrame, total: float, resolution: float) -> DataFrame:
     level = cut(edges.select("a", "b", "w"))
     ends = level.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     membership = cut(ends.select("id", F.col("id").alias("community")))
     best = modularity(level, membership, resolution)
-    for _ in range(max_levels):
-        step = cut(_move(level, total, resolution, max_rounds))
+    while not level.where("a <> b").isEmpty():  # each level has fewer nodes than the last
+        step = _move(level, total, resolution)
         quality = modularity(level, step, resolution)
         if quality <= best + 1e-9:
             break
@@ -178,27 +129,17 @@ def _large_components(edges: DataFrame, total: float, resolution: float, max_rou
     return membership
 
 
-def louvain(
-    node_table: DataFrame, edges: DataFrame, resolution: float = 1.0,
-    small_edges: int = 20_000, max_rounds: int = 16, max_levels: int = 8,
-) -> DataFrame:
+def louvain(node_table: DataFrame, edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     """id, community: a modularity partition of an undirected weighted graph.
 
-    A community never spans components, so components come first. Those with at
-    most ``small_edges`` edges are settled one per group, all in parallel; larger
-    ones go through the distributed moves and contractions, where no task ever
-    holds a whole component. Isolated nodes form their own community.
+    One path for graphs of every size: distributed local moves until nobody moves,
+    then contraction of the communities, until a level no longer raises the
+    modularity. Isolated nodes form their own community.
     """
     edges = cut(edges.select("a", "b", "w"))
     total = edges.agg(2 * F.sum("w")).first()[0]
     alone = node_table.select("id", F.col("id").alias("_self"))
     if not total:
         return alone.withColumnRenamed("_self", "community")
-    placed = edges.join(components(node_table, edges).toDF("a", "component"), "a")
-    large = placed.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > small_edges).select("component")
-    large = cut(large)
-    found = _small_components(placed.join(large, "component", "left_anti"), total, resolution)
-    if not large.isEmpty():
-        rest = placed.join(large, "component", "left_semi")
-        found = found.union(_large_components(rest, total, resolution, max_rounds, max_levels))
+    found = _levels(edges, total, resolution)
     return alone.join(found, "id", "left").select("id", F.coalesce("community", "_self").alias("community"))

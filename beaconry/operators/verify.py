@@ -151,10 +151,11 @@ def shorten_reasoning(text: Column, limit: int = 300) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit("..."))).otherwise(text)
 
 
-def scrub_prompt_text(text: Column, max_length: int = 500) -> Column:
-    """Make report text safe to quote: cut, drop braces, mask instruction phrases,
+def scrub_prompt_text(text: Column, max_length: int | None = None) -> Column:
+    """Make report text safe to quote: cut where a length is given, drop braces, mask instruction phrases,
     code fences and tags, collapse blanks."""
-    out = F.translate(F.left(F.coalesce(text, F.lit("")), F.lit(max_length)), "{}", "")
+    whole = F.coalesce(text, F.lit(""))
+    out = F.translate(whole if max_length is None else F.left(whole, F.lit(max_length)), "{}", "")
     for pattern in (
         r"(?iU)\b(SYSTEM|IGNORE\s+PREVIOUS|FORGET\s+EVERYTHING|DISREGARD)\b",
         r"(?iU)\b(NEW\s+INSTRUCTIONS?|OVERRIDE|ACT\s+AS|YOU\s+ARE\s+NOW)\b",

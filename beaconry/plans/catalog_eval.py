@@ -100,7 +100,7 @@ def integer_uniform(sample, replicate, seed):
 
 
 def bootstrap(spark, sf_dir):
-    out = E.bootstrap(samples(spark, sf_dir), matched(spark, sf_dir), replicates=100, uniform=integer_uniform)
+    out = E.bootstrap(samples(spark, sf_dir), matched(spark, sf_dir), replicates=1000, uniform=integer_uniform)
     return rounded(out)
 
 
@@ -114,12 +114,12 @@ def _bootstrap_sql() -> str:
     u = "((((sample * 2654435 + r * 7919 + 42 * 97) % 2147483647) * 48271 % 2147483647) * 16807 % 2147483647)::DOUBLE / 2147483647"
     reps = prf("select r, sum(tp * d)::BIGINT as tp, sum(fp * d)::BIGINT as fp, sum(fn * d)::BIGINT as fn from drawn group by r", "r")
     return f"""with {_MATCH}, per as (select sample, {_COUNTS} from matched group by sample),
- drawn as (select r, tp, fp, fn, {draw} as d from (select *, {u} as u from per, range(100) t(r))),
+ drawn as (select r, tp, fp, fn, {draw} as d from (select *, {u} as u from per, range(1000) t(r))),
  reps as ({reps}), micro as ({_MICRO}),
  x as (select unnest(['precision', 'recall', 'f1']) as metric, unnest([precision, recall, f1]) as v, r from reps),
  o as (select metric, v, row_number() over (partition by metric order by v) - 1 as i from x),
  p as (select unnest(['precision', 'recall', 'f1']) as metric, unnest([precision, recall, f1]) as point from micro)
- select p.metric, round(point, 9) as point, round((select v from o where o.metric = p.metric and i = 2), 9) as lower, round((select v from o where o.metric = p.metric and i = 97), 9) as upper from p"""
+ select p.metric, round(point, 9) as point, round((select v from o where o.metric = p.metric and i = 25), 9) as lower, round((select v from o where o.metric = p.metric and i = 975), 9) as upper from p"""
 
 
 # ablation and errors on the planted reports

@@ -132,6 +132,35 @@ def communities_hub(spark, sf_dir):
     return M.louvain(nodes, edges)
 
 
+_FAMILY = 6
+
+
+def bridged(spark, sf_dir):
+    """Complete families of six documents, each tied weakly to the next one and to a hub."""
+    rows = V.table(spark, sf_dir, "documents").select("doc_id", F.expr(f"doc_id div {_FAMILY}").alias("family"))
+    name = lambda c: F.format_string("d%012d", c)
+    members = rows.groupBy("family").agg(F.sort_array(F.collect_list("doc_id")).alias("m"))
+    inner = members.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where("x < y")
+    firsts = members.select("family", F.col("m")[0].alias("first"), F.element_at("m", -1).alias("last"))
+    before = firsts.select((F.col("family") + 1).alias("family"), F.col("last").alias("x"))
+    edges = (
+        inner.select(name("x").alias("a"), name("y").alias("b"), F.lit(1.0).alias("w"))
+        .union(firsts.join(before, "family").select(name("x"), name("first"), F.lit(0.01)))
+        .union(firsts.select(name("first"), F.lit("hub"), F.lit(0.005)))
+    )
+    nodes = rows.select(name("doc_id").alias("id"), F.lit("ip").alias("type")).union(spark.createDataFrame([("hub", "ip")], "id string, type string"))
+    return nodes, edges, rows
+
+
+def communities_bridged(spark, sf_dir):
+    """One component in all, so only modularity can tell the families apart. The
+    resolution follows the number of families, else large graphs merge neighbours."""
+    nodes, edges, rows = bridged(spark, sf_dir)
+    families = rows.select("family").distinct().count()
+    found = M.louvain(nodes, edges, resolution=max(1.0, families / 300))
+    return found.where("id <> 'hub'").groupBy("community").agg(F.min("id").alias("first"), F.count("*").alias("members")).drop("community")
+
+
 # campaigns: families as communities, nodes folded from the mentions
 def members(spark, sf_dir):
     rows = V.mention_rows(spark, sf_dir, hub=False)
@@ -235,6 +264,10 @@ QUERIES = {
         communities,
         f"with recursive {GRAPH}, {_PROJ}, {_COMP} select min(id) as first, count(*) as members from comp group by component".replace(V.MENTIONS, V.MENTIONS_PLAIN),
     ),
+    "communities_bridged": (
+        communities_bridged,
+        f"select 'd' || lpad(min(doc_id)::VARCHAR, 12, '0') as first, count(*) as members from documents group by doc_id // {_FAMILY}",
+    ),
     "communities_hub": (communities_hub, None),
     "campaign_groups": (
         lambda spark, sf_dir: members(spark, sf_dir).select("community", "id"),

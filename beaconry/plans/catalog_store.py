@@ -159,11 +159,11 @@ SCRUB = (
 
 def scrub_prompt_text(spark, sf_dir):
     docs = V.view(spark, sf_dir, SCRUB, "documents")
-    return docs.select("doc_id", Y.scrub_prompt_text(F.col("text"), 100000).alias("safe"))
+    return docs.select("doc_id", Y.scrub_prompt_text(F.col("text")).alias("safe"))
 
 
 def _scrub_sql() -> str:
-    out = "replace(replace(substr(text, 1, 100000), '{', ''), '}', '')"
+    out = "replace(replace(text, '{', ''), '}', '')"
     for p in (r"(?i)\b(SYSTEM|IGNORE\s+PREVIOUS|FORGET\s+EVERYTHING|DISREGARD)\b", r"(?i)\b(NEW\s+INSTRUCTIONS?|OVERRIDE|ACT\s+AS|YOU\s+ARE\s+NOW)\b", "```", "<[^>]+>"):
         out = O.rx(out, p, "[FILTERED]")
     return f"select doc_id, trim({O.rx(out, '\\s+', ' ')}) as safe from ({SCRUB})"

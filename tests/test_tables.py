@@ -77,11 +77,10 @@ def test_components(spark):
     assert partition(M.components(nodes, edges)) == {frozenset(ips), frozenset(names), frozenset({"alone"})}
 
 
-@pytest.mark.parametrize("small_edges", [20_000, 0])
-def test_communities_split_bridged_cliques(spark, small_edges):
+def test_communities_split_bridged_cliques(spark):
     nodes, edges, ips, names = cliques(spark)
     bridged = edges.union(spark.createDataFrame([("10.0.0.0", "d0.com", 0.1)], edges.schema))
-    found = M.louvain(nodes, bridged, small_edges=small_edges)
+    found = M.louvain(nodes, bridged)
     assert partition(found) == {frozenset(ips), frozenset(names), frozenset({"alone"})}
     assert M.modularity(bridged, found.where("id <> 'alone'")) > 0.4
 
@@ -167,3 +166,13 @@ def test_registry_is_consistent():
 
     names = set(entry.queries())
     assert set(entry.oracle_sql()) <= names and entry.FLAGSHIP in names and len(names) > 150
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    from types import SimpleNamespace
+
+    from beaconry.functions.lineage import shared_folder
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError):
+        shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, default: default)))
