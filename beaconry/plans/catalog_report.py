@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from beaconry import constants as C
 from beaconry.functions.columns import spread
+from beaconry.functions.lineage import work_folder
 from beaconry.operators import enrich as N
 from beaconry.operators import graph as G
 from beaconry.operators import predict as P
@@ -77,6 +78,51 @@ def strip_tags(spark, sf_dir):
     return V.table(spark, sf_dir, "pages").select("page_id", D.strip_tags(F.col("html")).alias("text"))
 
 
+_FETCHES_READ = (
+    "select source || '-' || doc_id::VARCHAR as feed, 'https://feeds.example.net/' || source as url, text as content, lang as category, "
+    "case when doc_id % 3 = 0 then 0.5 else 0.5::DOUBLE + (doc_id % 5)::DOUBLE / 10 end as reliability from documents where doc_id % 7 <> 0"
+)
+
+
+def _stripped() -> str:
+    out = "regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
+    for name in D.HIDDEN:
+        out = f"regexp_replace({out}, '(?is)<{name}\\b[^>]*>.*?</{name}\\s*>', ' ', 'g')"
+    quoted = "\"[^\"]*\"|''[^'']*''"
+    return f"regexp_replace({out}, '<[/!?a-zA-Z][^>\"'']*(?:(?:{quoted})[^>\"'']*)*>', ' ', 'g')"
+
+
+# contents of four kinds: an Atom feed, two RSS feeds (one with summary instead of description), a page without entries
+def mixed_fetches(spark, sf_dir):
+    atom = (
+        "'<feed xmlns=\"http://www.w3.org/2005/Atom\"><title>At</title><entry><title>T' || page_id || '</title><link href=\"https://a.example.net/' || page_id "
+        "|| '\"/><summary>s' || page_id || '</summary><updated>2024-01-02</updated></entry></feed>'"
+    )
+    summary = "'<rss><channel><title>R</title><item><title>I' || page_id || '</title><summary>m' || page_id || '</summary></item></channel></rss>'"
+    page = "'<html><head><title>P</title><script>var u=\"http://no.example\";</script></head><body><p title=\"a>b\">seen ' || page_id || '</p> <!-- x -->end</body></html>'"
+    return V.table(spark, sf_dir, "pages").selectExpr(
+        "'p' || page_id as feed", "url", f"case page_id % 4 when 0 then {page} when 1 then {atom} when 2 then {summary} else {_PAGE_RSS} end as content"
+    )
+
+
+def feed_documents(spark, sf_dir):
+    return D.fetch_documents(mixed_fetches(spark, sf_dir)).select("feed", "url", "text", "published")
+
+
+_FEED_DOCUMENTS = """select 'p' || page_id as feed, case page_id % 4 when 1 then 'https://a.example.net/' || page_id else url end as url,
+ case page_id % 4 when 0 then 'P seen ' || page_id || ' end' when 1 then 'T' || page_id || ' s' || page_id else 'I' || page_id || ' m' || page_id end as text,
+ case page_id % 4 when 1 then '2024-01-02' else '' end as published from pages where page_id % 4 < 3
+ union all select 'p' || page_id, case x.t when 'A ' then 'https://x.example.net/' || page_id else url end,
+ x.t || page_id || ' ' || case x.t when 'A ' then 'd ' || (page_id * 3) else '' end, '' from pages, (values ('A '), ('B ')) x(t) where page_id % 4 = 3"""
+
+
+def fetches_read(spark, sf_dir):
+    """Dumps written as JSON lines and read back through the reader."""
+    folder = work_folder(spark)
+    fetch_bodies(spark, sf_dir).write.text(folder)
+    return D.read_fetches(spark, folder).select("feed", "url", "content", "category", "reliability")
+
+
 # technique bundle: parts as techniques
 
 
@@ -351,18 +397,16 @@ _S = f"with s as ({SUMMARIES}) "
 _CAMPAIGN = f"with {KG.MEMBERS} "
 
 QUERIES = {
-    "fetches_success": (
-        fetches,
-        "select source || '-' || doc_id::VARCHAR as feed, 'https://feeds.example.net/' || source as url, text as content, lang as category, "
-        "case when doc_id % 3 = 0 then 0.5 else 0.5::DOUBLE + (doc_id % 5)::DOUBLE / 10 end as reliability from documents where doc_id % 7 <> 0",
-    ),
+    "fetches_success": (fetches, _FETCHES_READ),
     "rss_entries": (rss_entries, _ENTRIES),
     "entry_documents": (
         lambda spark, sf_dir: D.entry_documents(rss_entries(spark, sf_dir)),
         f"select sha256(link || '|' || title) as entry_id, feed, link as url, title || ' ' || summary as text, published from ({_ENTRIES})",
     ),
     "sniff_format": (sniff, "select page_id, page_id % 3 <> 1 as is_xml from pages"),
-    "html_strip_tags": (strip_tags, "select page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') as text from pages"),
+    "html_strip_tags": (strip_tags, f"select page_id, {_stripped()} as text from pages"),
+    "feed_documents": (feed_documents, _FEED_DOCUMENTS),
+    "fetches_read": (fetches_read, _FETCHES_READ),
     "html_to_text": (pages_text, None),
     "stix_techniques": (
         lambda spark, sf_dir: techniques(spark, sf_dir).select("id", "name", "description", F.array_join("tactics", ", ").alias("tactics"), "is_subtechnique"),

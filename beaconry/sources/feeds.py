@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 from beaconry.functions import unicode as U
 
 FETCH = "struct<status:string,url:string,content:string,category:string,source_type:string,reliability:double>"
-_ITEM = "struct<title:string,link:string,description:string,pubDate:string>"
+_ITEM = "struct<title:string,link:string,description:string,summary:string,content:string,pubDate:string>"
+_ENTRY = "struct<title:string,link:array<struct<_href:string>>,summary:string,content:string,published:string,updated:string>"
 
 
-def read_fetches(spark: SparkSession, path: str) -> DataFrame:
-    """Raw fetch results: JSON objects keyed by feed, one object per file or line."""
-    return fetch_rows(spark.read.text(path, wholetext=True).select(F.col("value").alias("body")))
+def read_fetches(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """Raw fetch results: JSON objects keyed by feed, one object per line, or one per
+    file where ``whole_files`` says so (an object spread over lines; its file is one row)."""
+    return fetch_rows(spark.read.text(path, wholetext=whole_files).select(F.col("value").alias("body")))
+
+
+def unreadable(bodies: DataFrame) -> DataFrame:
+    """Number of bodies that hold no fetch results (blank lines aside)."""
+    parsed = F.from_json("body", f"map<string,{FETCH}>")
+    return bodies.agg(F.count_if((F.trim("body") != "") & (parsed.isNull() | (F.size(parsed) == 0))).alias("unreadable"))
 
 
 def fetch_rows(bodies: DataFrame) -> DataFrame:
@@ -27,22 +35,50 @@ def looks_like_xml(content: Column) -> Column:
     return stripped.startswith("<") | F.substring(stripped, 1, 100).contains("<?xml")
 
 
+def _feed(content: Column) -> Column:
+    """RSS channel or Atom feed in one shape."""
+    return F.from_xml(content, F.lit(f"channel struct<title:string,item:array<{_ITEM}>>, title string, entry array<{_ENTRY}>"))
+
+
 def rss_entries(fetches: DataFrame) -> DataFrame:
-    """One row per feed entry, with the defaults of missing parts."""
-    rows = fetches.where(looks_like_xml(F.col("content")))
-    doc = F.from_xml("content", F.lit("channel struct<title:string,item:array<" + _ITEM + ">>"))
-    items = rows.withColumn("_x", doc).select("feed", "url", F.col("_x.channel.title").alias("source"), F.explode("_x.channel.item").alias("e"))
-    return items.select(
+    """One row per entry of an RSS or Atom feed, with the defaults of missing parts."""
+    rows = fetches.where(looks_like_xml(F.col("content"))).withColumn("_x", _feed(F.col("content")))
+    items = F.transform("_x.channel.item", lambda e: F.struct(
+        e["title"].alias("title"), e["link"].alias("link"),
+        F.coalesce(e["description"], e["summary"], e["content"]).alias("summary"), e["pubDate"].alias("published"),
+    ))
+    entries = F.transform("_x.entry", lambda e: F.struct(
+        e["title"].alias("title"), F.get(e["link"], F.lit(0))["_href"].alias("link"),
+        F.coalesce(e["summary"], e["content"]).alias("summary"), F.coalesce(e["published"], e["updated"]).alias("published"),
+    ))
+    named = rows.select("feed", "url", F.coalesce("_x.channel.title", "_x.title").alias("source"), F.explode(F.coalesce(items, entries)).alias("e"))
+    return named.select(
         "feed",
         F.coalesce("source", F.lit("Unknown Source")).alias("source"),
         F.coalesce("e.title", F.lit("")).alias("title"),
         F.coalesce("e.link", "url").alias("link"),
-        F.coalesce("e.description", F.lit("")).alias("summary"),
-        F.coalesce("e.pubDate", F.lit("")).alias("published"),
+        F.coalesce("e.summary", F.lit("")).alias("summary"),
+        F.coalesce("e.published", F.lit("")).alias("published"),
         F.col("url").alias("feed_url"),
     )
 
 
+def page_documents(fetches: DataFrame) -> DataFrame:
+    """Fetched contents that hold no feed entries: the visible text of the page is the document."""
+    parsed = fetches.withColumn("_x", F.when(looks_like_xml(F.col("content")), _feed(F.col("content"))))
+    entries = F.coalesce(F.size("_x.channel.item"), F.lit(-1)) + F.coalesce(F.size("_x.entry"), F.lit(-1))
+    pages = parsed.where(F.coalesce(entries, F.lit(-2)) <= -1)
+    text = F.trim(F.regexp_replace("text", r"\s+", " "))
+    return html_to_text(pages, "content").select(
+        entry_id(F.col("url"), F.lit("")).alias("entry_id"), "feed", "url", text.alias("text"), F.lit("").alias("published")
+    ).where("text <> ''")
+
+
+def fetch_documents(fetches: DataFrame) -> DataFrame:
+    """All documents of fetched feeds: their entries, or the page itself."""
+    return entry_documents(rss_entries(fetches)).union(page_documents(fetches))
+
+
 def entry_id(url: Column, title: Column) -> Column:
     return F.sha2(F.concat(url, F.lit("|"), title), 256)
 
@@ -54,10 +90,17 @@ def entry_documents(entries: DataFrame) -> DataFrame:
     )
 
 
+#: Elements whose contents nobody sees.
+HIDDEN = ("script", "style", "template", "noscript")
+
+
 def strip_tags(html: Column) -> Column:
-    """Visible text of a page, tags replaced by a blank; comments vanish."""
+    """Visible text of a page: comments and the bodies of hidden elements vanish, tags
+    become a blank. A quoted ">" does not end a tag."""
     out = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    return F.regexp_replace(out, r"(?s)<[^>]*>", " ")
+    for name in HIDDEN:
+        out = F.regexp_replace(out, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", " ")
+    return F.regexp_replace(out, r"""<[/!?a-zA-Z][^>"']*+(?:(?:"[^"]*"|'[^']*')[^>"']*+)*+>""", " ")
 
 
 def html_to_text(pages: DataFrame, html: str = "html") -> DataFrame:
