@@ -129,9 +129,19 @@ def compare(expected: DataFrame, extracted: DataFrame, key: str, names: list[str
 
 
 def with_delta(scores: DataFrame, key: str, first: str) -> DataFrame:
-    """F1 difference to the configuration named ``first``."""
-    base = scores.where(F.col(key) == first).select(F.col("f1").alias("_base"))
-    return scores.crossJoin(F.broadcast(base)).withColumn("delta_f1", F.col("f1") - F.col("_base")).drop("_base")
+    """F1 difference to the configuration named ``first``; one row per configuration,
+    so the window holds a handful of rows and the scores are planned once."""
+    base = F.max(F.when(F.col(key) == first, F.col("f1"))).over(Window.partitionBy())
+    return scores.withColumn("delta_f1", F.col("f1") - base)
+
+
+def filter_samples(samples: DataFrame, truth: DataFrame, category: str | None = None, kind: str | None = None, tag: str | None = None) -> DataFrame:
+    """Labelled samples of a category, with at least one expected indicator of a type, carrying a tag."""
+    kept = samples
+    for name, wanted in (("category", category), ("tag", tag)):
+        if wanted is not None:
+            kept = kept.where(F.col(name) == wanted)
+    return kept if kind is None else kept.join(truth.where(F.col("type") == kind).select("sample").distinct(), "sample", "left_semi")
 
 
 # --- configurations ---------------------------------------------------------

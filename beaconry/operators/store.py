@@ -11,23 +11,28 @@ SORTABLE = ("timestamp", "ingested_at", "confidence", "severity")
 
 
 # --- upserts ----------------------------------------------------------------
-def keyed_upsert(target: DataFrame | None, batch: DataFrame, key: str, order: list[str]) -> DataFrame:
+def keyed_upsert(
+    target: DataFrame | None, batch: DataFrame, key: str, order: list[str], earliest: tuple[str, ...] = (), newest_first: bool = True
+) -> DataFrame:
     """Newest row per key, batch over target.
 
     ``max_by`` over a struct keeps one row per key with partial aggregation on
     the map side, so a key that fills a third of the batch never meets in one
-    task as rows. ``order`` columns decide "newest", largest first.
+    task as rows. ``order`` columns decide "newest", largest first; rows of the batch
+    come before those of the target, or only win ties where ``newest_first`` is off.
+    Of the ``earliest`` columns the smallest value is kept, from the same aggregate.
     """
     columns = batch.columns
     rows = batch.withColumn("_new", F.lit(1))
     if target is not None:
         rows = rows.unionByName(target.withColumn("_new", F.lit(0)), allowMissingColumns=True)
         columns = rows.drop("_new").columns
-    rank = F.struct(F.col("_new"), *[F.col(c) for c in order])
+    rank = F.struct(*([F.col("_new")] if newest_first else []), *[F.col(c) for c in order], F.col("_new"))
     best = rows.groupBy(F.col(key)).agg(
-        F.max_by(F.struct(*[F.col(c) for c in columns if c != key]), rank).alias("_row")
+        F.max_by(F.struct(*[F.col(c) for c in columns if c != key]), rank).alias("_row"), *[F.min(c).alias(f"_min_{c}") for c in earliest]
     )
-    return best.select(*[F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in columns])
+    from_ = {key: F.col(key)} | {c: F.col(f"_min_{c}").alias(c) for c in earliest}
+    return best.select(*[from_.get(c, F.col(f"_row.{c}").alias(c)) for c in columns])
 
 
 def ioc_id(kind: Column, value: Column) -> Column:
@@ -51,13 +56,7 @@ def upsert_iocs(target: DataFrame | None, batch: DataFrame, as_of: Column) -> Da
             "first_ingested_at": as_of,
         }
     )
-    out = keyed_upsert(target, rows, "ioc_id", ["timestamp", "fused_confidence", "feed"])
-    if target is None:
-        return out
-    seen = target.select("ioc_id", F.col("first_ingested_at").alias("_first"))
-    return out.join(seen, "ioc_id", "left").withColumn(
-        "first_ingested_at", F.coalesce("_first", "first_ingested_at")
-    ).drop("_first")
+    return keyed_upsert(target, rows, "ioc_id", ["timestamp", "fused_confidence", "feed"], earliest=("first_ingested_at",), newest_first=False)
 
 
 def upsert_campaigns(target: DataFrame | None, batch: DataFrame) -> DataFrame:

@@ -201,9 +201,9 @@ TAGGED = "select doc_id as sample, case doc_id % 4 when 0 then 'true_positive' w
 
 def gt_filter(spark, sf_dir):
     """Samples of a category that expect at least one url and carry a tag."""
-    docs = V.view(spark, sf_dir, TAGGED, "documents").where("category = 'obfuscated' and tag = 'fr'")
-    typed = V.view(spark, sf_dir, TRUTH, "documents").where("type = 'url' and value like 'ftp%'").select("sample")
-    return docs.join(typed, "sample", "left_semi").select("sample", "category", "tag")
+    typed = V.view(spark, sf_dir, TRUTH, "documents").where("type <> 'url' or value like 'ftp%'")
+    kept = E.filter_samples(V.view(spark, sf_dir, TAGGED, "documents"), typed, category="obfuscated", kind="url", tag="fr")
+    return kept.select("sample", "category", "tag")
 
 
 QUERIES = {

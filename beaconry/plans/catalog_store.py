@@ -220,7 +220,7 @@ def upsert_store(spark, sf_dir):
 
 
 _UPSERT_SQL = f"""with s as ({V.IOC_STORE}), f as (select *, sha256(coalesce(type, '?') || '::' || coalesce(ioc, '')) as ioc_id, coalesce(fused_confidence, confidence, 0.5) as fc from s),
- w as (select *, row_number() over (partition by ioc_id order by event_id % 2 desc, timestamp desc, fc desc, feed desc nulls last) as rn from f)
+ w as (select *, row_number() over (partition by ioc_id order by timestamp desc, fc desc, feed desc nulls last, event_id % 2 desc) as rn from f)
  select w.ioc_id, type, ioc, fc as fused_confidence, timestamp, case when event_id % 2 = 1 then {V.AS_OF} else timestamp '2024-01-30 00:00:00' end as ingested_at,
  case when w.ioc_id in (select ioc_id from f where event_id % 2 = 0) then timestamp '2024-01-30 00:00:00' else {V.AS_OF} end as first_ingested_at from w where rn = 1"""
 
