@@ -10,7 +10,7 @@ stands in an exception phrase (a pair of neighbouring words found mostly in clea
 documents). Weights are summed, normalised by length, and a logistic function fitted on other
 labelled rows turns the sums into a score.
 
-Learning takes at most ``SAMPLE`` labelled documents, picked by a hash of their id
+Learning takes about ``SAMPLE`` labelled documents (all where there are fewer), picked by a hash of their id
 (the classifier's documented bound); one half gives the lexicon, the other the
 logistic function. Scoring reads every whole text. labels, lang, source and doc_id
 are never inputs of a score.
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from beaconry.llm.common import cut, map_rows, table
+from beaconry.llm.common import cut, hashed_sample, map_rows, table
 
 SAMPLE = 20_000
 #: A term needs this many toxic documents and this log-odds ratio; the strongest TERMS are kept.
@@ -160,13 +160,12 @@ class Model:
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     spark = docs.sparkSession
-    order = F.xxhash64(F.lit("toxicity"), "doc_id")
-    picked = (
+    labelled = cut(
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-        .join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(order, "doc_id").limit(sample)
-        .withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)))
+        .join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     )
+    picked = hashed_sample(labelled, "doc_id", "toxicity", sample).withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)))
     rows = cut(docs.select("doc_id", "text").join(F.broadcast(cut(picked)), "doc_id"))
     ratio = F.col("toxic") > 0
     totals = rows.where("half = 0").agg(F.count_if(ratio).alias("t"), F.count_if(~ratio).alias("c")).first()
