@@ -2,6 +2,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -142,6 +143,34 @@ def test_shared_passages(docs, corpus):
     assert got[40].component_id == 0 and got[43].component_id == 0 and got[7].n_links == 0
 
 
+def words_of(seed, n):
+    draw = random.Random(seed)
+    return [f"v{draw.randrange(5000)}" for _ in range(n)]
+
+
+def test_parts_of_a_failed_chain(spark):
+    """Two exact passages with other text between them, on both sides or on one, and with edits."""
+    docs, want = [], {}
+    for case, (between, other) in enumerate([(40, 40), (60, 60), (150, 150), (400, 400), (80, 0), (150, 0), (0, 400), (60, 200)]):
+        first, second = words_of(f"p{case}", 60), words_of(f"q{case}", 60)
+        for side, n in enumerate((between, other)):
+            text = words_of(f"a{case}{side}", 50) + first + words_of(f"m{case}{side}", n) + second + words_of(f"z{case}{side}", 50)
+            docs.append((2 * case + side, " ".join(text)))
+            want[2 * case + side] = {*range(50, 110), *range(110 + n, 170 + n)}
+    got = {r.doc_id: r for r in chaining.repeated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for doc, places in want.items():
+        spans = [tuple(map(int, s.split(":"))) for s in got[doc].spans.split(",") if s]
+        found = {p for s, e in spans for p in range(s, e)}
+        assert got[doc].component_id == doc // 2 * 2 and places <= found and len(found - places) <= 0.25 * len(places)
+
+
+def test_equal_runs():
+    a, b = list(range(100)), [*range(30), *range(200, 290), *range(40, 100)]
+    assert chaining.equal_runs(a, b) == [(0, 0, 30), (40, 120, 60)]
+    assert chaining.parts(a, b, 0, 100, 0, 180) == [(40, 100, 120, 180)]
+    assert chaining.equal_runs([1, 2], [1, 2]) == [] == chaining.parts(a, a[::-1], 0, 100, 0, 100)
+
+
 def test_toxicity(spark):
     rows, labels = [], []
     for i in range(900):
