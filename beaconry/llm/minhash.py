@@ -32,7 +32,7 @@ SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: With 64 coordinates a pair at similarity .85 matches 54.4 on average with deviation 2.9;
-#: fewer than 42 matches happen to it about three times in a million.
+#: fewer than 42 matches happen to it about thirty times in a million.
 COORDINATES = 64
 MATCHES = 42
 #: Members in a block: two blocks of signatures or sets are all that a task holds.
