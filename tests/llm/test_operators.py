@@ -164,6 +164,18 @@ def test_parts_of_a_failed_chain(spark):
         assert got[doc].component_id == doc // 2 * 2 and places <= found and len(found - places) <= 0.25 * len(places)
 
 
+def test_passages_of_lines_seen_before(spark):
+    """B and C share two lines (56 words, and three in another place) that first occur one by one in other documents."""
+    lines = [words_of(f"line{i}", 28) for i in range(5)]
+    put = lambda i, *parts: (i, " ".join(words_of(f"s{i}", 40) + sum(parts, []) + words_of(f"e{i}", 40)))
+    docs = [put(i, line) for i, line in enumerate(lines)]
+    docs += [put(i, lines[0], lines[1]) for i in (10, 11, 12)] + [put(i, *lines[2:]) for i in (20, 21)]
+    got = {r.doc_id: r for r in chaining.repeated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i: r.component_id for i, r in got.items()} == {**{i: i for i in range(5)}, 10: 10, 11: 10, 12: 10, 20: 20, 21: 20}
+    assert [got[i].later_words >= n for i, n in ((11, 56), (12, 56), (21, 84))] == [True] * 3
+    assert [got[i].n_links for i in (4, 10, 11, 20)] == [0, 2, 1, 1]
+
+
 def test_equal_runs():
     a, b = list(range(100)), [*range(30), *range(200, 290), *range(40, 100)]
     assert chaining.equal_runs(a, b) == [(0, 0, 30), (40, 120, 60)]
