@@ -6,7 +6,9 @@ cannot shorten. Such a vocabulary spends a token on three or four characters of
 language but on about one and a half of a random string, so a low ratio of
 characters to tokens exposes it. Runs that are known digests (pure hex), UUIDs,
 plain numbers, dates and addresses of files or hosts made of words are left out
-before the test, and so is what overlaps a base span.
+before the test, and so are base spans; what lies before and after them is tested. A
+run that is not random as a whole is divided at =, then /, then _, then -, and its
+parts are tested alike, so words joined to a secret do not hide it.
 
 Positions are code points. Defined results: null and empty texts have no spans and
 the digest of the empty string; repeated rows are scanned alike; a null doc_id is
@@ -29,6 +31,8 @@ BYTE_BPE = "byte_bpe_50k.tiktoken"
 RATIO = 2.0
 #: Shortest run that is tested; shorter ones do not tell language from chance.
 LEAST = 20
+#: Where a run that is not random as a whole is divided, in this order: words before a secret lift its ratio.
+MARKS = "=/_-"
 KINDS = ("assign", "access", "hex", "random")
 
 # fixed values: the base patterns
@@ -51,16 +55,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _random(text: str, start: int, end: int, marks: str, encode) -> list[tuple[int, int, int]]:
+    """The run itself where it is random, or else what is found between the first of ``marks``, and so on."""
+    run = text[start:end]
+    if len(run) < LEAST or _KNOWN.fullmatch(run) or sum(bool(c.search(run)) for c in _CLASSES) < 2:
+        return []
+    if len(run) <= RATIO * len(encode(run)):
+        return [(start, 3, end)]
+    while marks and marks[0] not in run:
+        marks = marks[1:]
+    out = []
+    for part in run.split(marks[0]) if marks else ():
+        out += _random(text, start, start + len(part), marks[1:], encode)
+        start += len(part) + 1
+    return out
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], encode) -> list[tuple[int, int, int]]:
     out = []
     for m in _RUN.finditer(text):
-        run = m[0]
-        if _KNOWN.fullmatch(run) or sum(bool(c.search(run)) for c in _CLASSES) < 2:
-            continue
-        if any(start < m.end() and m.start() < end for start, _, end in taken):
-            continue
-        if len(run) <= RATIO * len(encode(run)):
-            out.append((m.start(), 3, m.end()))
+        at = m.start()
+        for start, _, end in taken:  # in order of their starts
+            if start < m.end() and at < end:
+                out += _random(text, at, max(at, start), MARKS, encode)
+                at = min(end, m.end())
+        out += _random(text, at, m.end(), MARKS, encode)
     return out
 
 
