@@ -151,15 +151,16 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | None], space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of every ASCII-lower-cased word in order, words per text).
+    ``space`` marks the byte values that part words; blanks and line ends must be among them.
 
     All texts of the call are hashed at once over their bytes: a word's hash is the
     mixed sum of per-byte random numbers times powers by position.
     """
     raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
     data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-    space = _SPACE[data]
+    space = space[data]
     inside = ~space
     starts = np.flatnonzero(inside & np.concatenate(([True], space[:-1])))
     counts = np.zeros(len(raw), np.int64)
