@@ -15,6 +15,8 @@ result over all reports so far.
 """
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,9 +105,14 @@ class Tables:
     def fold(self, rows: DataFrame, mentions: DataFrame, epoch: int, as_of: Column) -> None:
         """One ingest cycle: normalized ``rows`` into the store, ``mentions`` into the graph."""
         versions = self.versions(before=epoch)
-        self._fold_iocs(rows, epoch, as_of, versions)
-        self._fold_indicators(mentions, epoch, versions)
-        self._fold_contexts(mentions, epoch, versions)
+        with ThreadPoolExecutor(3) as side_by_side:  # they write different tables
+            folds = [
+                side_by_side.submit(self._fold_iocs, rows, epoch, as_of, versions),
+                side_by_side.submit(self._fold_indicators, mentions, epoch, versions),
+                side_by_side.submit(self._fold_contexts, mentions, epoch, versions),
+            ]
+        for fold in folds:
+            fold.result()
         self.commit(epoch, versions)
 
     def _fold_iocs(self, rows: DataFrame, epoch: int, as_of: Column, versions: dict) -> None:
