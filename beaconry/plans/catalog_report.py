@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 
 from beaconry import constants as C
 from beaconry.functions.columns import spread
-from beaconry.functions.lineage import work_folder
+from beaconry.functions.lineage import cut, work_folder
+from beaconry.operators import context as X
 from beaconry.operators import enrich as N
 from beaconry.operators import graph as G
+from beaconry.operators import nearest as NV
 from beaconry.operators import predict as P
 from beaconry.operators import store as S
 from beaconry.operators import summaries as M
@@ -242,6 +244,23 @@ def _topk_sql(sub: bool, metric: str = "sql2") -> str:
  select query_id, id, row_number() over (partition by query_id order by dist, id)::INT as rank, round(round(1 / (1 + dist), 3), 2) as similarity from f where {'true' if sub else 'not is_sub'} qualify rank <= 5"""
 
 
+def nearest_blocks(metric="sql2"):
+    """Every twentieth vector against all, in several blocks."""
+
+    def run(spark, sf_dir):
+        table = V.table(spark, sf_dir, "embeddings")
+        queries = table.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+        found = NV.nearest(queries, table.withColumnRenamed("vec_id", "id"), 5, F.expr("label % 2 = 0"), metric, 64, 512)
+        return found.withColumn("similarity", F.round("similarity", 2))
+
+    return run
+
+
+def _nearest_sql(metric: str = "sql2") -> str:
+    near = _topk_sql(True, metric).replace("where vec_id < 10", "where vec_id % 20 = 0")
+    return near.replace("(select * from embeddings where vec_id % 20 = 0) q", "(select * from embeddings where vec_id % 20 = 0) q where e.label % 2 = 0")
+
+
 def technique_text(spark, sf_dir):
     return P.technique_text(techniques(spark, sf_dir))
 
@@ -262,6 +281,68 @@ def profile_stage(spark, sf_dir):
     return rows.select("campaign_id", P.stage_from_words("profile").alias("stage"))
 
 
+def multi_hop_hub(spark, sf_dir):
+    """Every indicator as a seed, on mentions whose hub ties all families together."""
+    mentions = V.mentions(spark, sf_dir)
+    return X.expand(G.pair_edges(mentions), mentions.select(F.col("ioc").alias("seed")))
+
+
+def campaign_context(spark, sf_dir):
+    """The vector of a campaign is the one with its member count as id; a technique's has its number."""
+    rows = cut(KG.campaigns(spark, sf_dir))
+    known = cut(techniques(spark, sf_dir))
+    embeddings = V.table(spark, sf_dir, "embeddings")
+    vectors = known.join(embeddings, F.regexp_extract("id", r"^T(\d+)", 1).cast("long") == F.col("vec_id")).select("id", "embedding", "is_subtechnique")
+    queries = rows.join(embeddings, F.col("ioc_count") == F.col("vec_id")).select(F.col("campaign_id").alias("query_id"), F.col("embedding").alias("q_embedding"))
+    return X.context_rows(rows, G.pair_edges(V.mentions(spark, sf_dir)), known, P.vector_topk(queries, vectors, 5))
+
+
+def technique_lookup(spark, sf_dir):
+    """Known ids, one with a sub-technique's suffix, and one that no technique has."""
+    known = techniques(spark, sf_dir)
+    return X.technique(known, F.lit("T7")).union(X.technique(known, F.lit("T10.001"))).union(X.technique(known, F.lit("T0"))).select("id", "name", "is_subtechnique")
+
+
+def _neighbourhood_sql(starts: str) -> str:
+    return f"""allm as ({V.MENTIONS}), {KG._PAIRS.replace(" m ", " allm ")}, sym as (select src as a, dst as b from pairs where src <> dst union select dst, src from pairs where src <> dst),
+ st as ({starts}), h1 as (select distinct seed, 1 as hop, b as neighbour from st join sym on a = seed where b <> seed),
+ h2 as (select distinct seed, 2 as hop, b as neighbour from h1 join sym on a = h1.neighbour where b <> seed and (seed, b) not in (select seed, neighbour from h1)),
+ hops as (select seed, hop, neighbour from (select * from h1 union all select * from h2) qualify row_number() over (partition by seed, hop order by neighbour) <= 15)"""
+
+
+_SEEDS = "select distinct id as seed from (select community, id, row_number() over (partition by community order by id) as n from mem) where n <= 50"
+_CONTEXT = f"""with {KG.MEMBERS}, {_neighbourhood_sql(_SEEDS)},
+ own as (select c.campaign_id, c.community, s.id as seed, h.hop, h.neighbour from camp c
+   join (select community, id, row_number() over (partition by community order by id) as n from mem) s on s.community = c.community and s.n <= 50 join hops h on h.seed = s.id),
+ total as (select campaign_id, count(distinct seed) as connected, count(*) as nodes, count(distinct hop) as hops from own group by 1),
+ often as (select campaign_id, hop, neighbour, count(*) as times from own group by all),
+ top5 as (select * from often qualify row_number() over (partition by campaign_id, hop order by times desc, neighbour) <= 5),
+ listed as (select campaign_id, array_to_string(list(neighbour || ' (' || times || 'x)' order by times desc, neighbour) filter (where hop = 1), ', ') as one,
+   array_to_string(list(neighbour || ' (' || times || 'x)' order by times desc, neighbour) filter (where hop = 2), ', ') as two from top5 group by 1),
+ types as (select community, array_to_string(list(type || ': ' || n order by n desc, type), ', ') as shown, array_to_string(list({_PHRASE} order by n desc, type), ' ') as phrases
+   from (select community, type, count(*) as n from mem group by all) group by 1),
+ severities as (select community, array_to_string(list(severity || ': ' || n order by n desc, severity), ', ') as shown from (select community, severity, count(*) as n from sev group by all) group by 1),
+ samples as (select community, array_to_string(list(id order by id)[1:10], ', ') as shown from mem group by 1),
+ profiles as (select c.campaign_id, array_to_string(list_filter(['Campaign: ' || c.label, 'Total IOCs: ' || c.ioc_count, 'First seen: ' || strftime(c.first_seen, '%Y-%m-%d %H:%M:%S'),
+   'Last seen: ' || strftime(c.last_seen, '%Y-%m-%d %H:%M:%S'), case when duration_hours <> 0 then printf('Duration: %.1f hours', duration_hours) end, 'IOC types: ' || t.shown,
+   'Severity distribution: ' || v.shown, 'Sample IOCs: ' || m.shown,
+   case when connected > 0 then 'Graph connectivity: ' || connected || ' IOCs connected to ' || nodes || ' nodes across ' || hops || ' hops'
+     else 'Graph connectivity: No known graph connections for this campaign' end,
+   'Hop-1 neighbors (immediate blast radius): ' || l.one, 'Hop-2 neighbors (extended threat web): ' || l.two], lambda x: x is not null), chr(10)) as profile
+   from camp c join types t using (community) join severities v using (community) join samples m using (community) left join total using (campaign_id) left join listed l using (campaign_id))"""
+_CONTEXT_SQL = f"""{_CONTEXT}, tech as (select t.*, e.embedding from ({_TECH}) t join embeddings e on e.vec_id = regexp_extract(t.id, '^T([0-9]+)', 1)::BIGINT),
+ near as (select c.campaign_id, t.*, list_sum(list_transform(list_zip(q.embedding, t.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) as dist
+   from camp c join embeddings q on q.vec_id = c.ioc_count, tech t),
+ near5 as (select *, row_number() over (partition by campaign_id order by dist, id) as rank from near qualify rank <= 5),
+ tlines as (select campaign_id, array_to_string(list('- ' || id || ' ' || name || ' (Tactics: ' || tactics || '): ' || substr(description, 1, 200) order by rank), chr(10)) as technique_context from near5 group by 1),
+ five as (select campaign_id, seed, neighbour from own where hop = 1 qualify row_number() over (partition by campaign_id, seed order by neighbour) <= 5),
+ glines as (select campaign_id, seed, '- ' || seed || ' is connected to: ' || array_to_string(list(neighbour order by neighbour), ', ') as line from five group by campaign_id, seed
+   qualify row_number() over (partition by campaign_id order by seed) <= 10),
+ graphs as (select campaign_id, array_to_string(list(line order by seed), chr(10)) as graph_context from glines group by 1)
+ select c.campaign_id, c.label, c.ioc_count, c.first_seen, c.last_seen, c.duration_hours, t.phrases || case when n_high > 0 then ' {C.SEVERE_PHRASE}' else '' end as query, p.profile,
+   coalesce(g.graph_context, 'No significant graph connections found.') as graph_context, coalesce(k.technique_context, '') as technique_context
+ from camp c join types t using (community) join profiles p using (campaign_id) left join graphs g using (campaign_id) left join tlines k using (campaign_id)"""
+
 STAGE_TEXTS = "select doc_id, text || case doc_id % 6 when 0 then ' domain url whois tunnel' when 1 then ' sha256 sha1 dns' when 2 then ' Critical' when 3 then ' c2 ipv4' else '' end as profile from documents"
 
 
@@ -278,6 +359,15 @@ def _stage_sql() -> str:
  select doc_id, case when score > 0 then stage when contains(p, 'critical') then 'Impact' when contains(p, 'high') then 'Lateral Movement' else 'Reconnaissance' end as stage from b"""
 
 
+_PROFILES = _CONTEXT.replace(V.MENTIONS, V.MENTIONS_PLAIN)
+
+
+def _profile_stage_sql() -> str:
+    source = f"with d as (select doc_id, lower(profile) as p from ({STAGE_TEXTS}))"
+    own = f"{_PROFILES}, d as (select campaign_id as doc_id, lower(profile) as p from profiles)"
+    return _stage_sql().replace(source, own).replace("select doc_id, case when score", "select doc_id as campaign_id, case when score")
+
+
 STAGE_REPLIES = "select event_id, case event_id % 7 when 0 then 'execution' when 1 then 'Likely COLLECTION stage' when 2 then 'command' when 3 then 'Impact' when 4 then 'nonsense xyz' when 5 then 'Initial access' else 'Defense Evasion, Discovery' end as reply from events"
 _STAGE_LIST = "[" + ", ".join(lit(s) for s in C.STAGES) + "]"
 _KNOWN = f"""select r.event_id, coalesce((select s from (select unnest({_STAGE_LIST}) as s, unnest(range(14)) as i) where lower(s) = lower(reply) order by i limit 1),
@@ -443,10 +533,15 @@ QUERIES = {
     "vector_topk": (topk(True), _topk_sql(True)),
     "vector_topk_no_sub": (topk(False), _topk_sql(False)),
     "vector_topk_l2": (topk(True, "l2"), _topk_sql(True, "l2")),
+    "nearest_blocks": (nearest_blocks(), _nearest_sql()),
+    "nearest_blocks_l2": (nearest_blocks("l2"), _nearest_sql("l2")),
     "technique_text": (technique_text, f"select id, id || ' ' || name || ': ' || substr(description, 1, 500) || ' Tactics: ' || tactics as text from ({_TECH})"),
     "technique_counts": (technique_counts, f"select is_subtechnique, count(*) as n from ({_TECH}) group by 1"),
-    "campaign_profile": (profile_rows, None),
-    "campaign_profile_stage": (profile_stage, None),
+    "multi_hop_hub": (multi_hop_hub, f"with {_neighbourhood_sql('select distinct ioc as seed from allm')} select * from hops"),
+    "campaign_context": (campaign_context, _CONTEXT_SQL),
+    "technique_lookup": (technique_lookup, f"select id, name, is_subtechnique from ({_TECH}) where id in ('T7', 'T10.001', 'T0')"),
+    "campaign_profile": (profile_rows, f"{_PROFILES} select campaign_id, profile from profiles"),
+    "campaign_profile_stage": (profile_stage, _profile_stage_sql()),
     "stage_heuristic": (stage_heuristic, _stage_sql()),
     "known_stage": (known_stage, _KNOWN),
     "next_stages": (
