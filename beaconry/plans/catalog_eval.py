@@ -7,6 +7,7 @@ from beaconry import constants as C
 from beaconry.operators import evaluate as E
 from beaconry.operators import extract as X
 from beaconry.operators import refang as R
+from beaconry.operators import resample as B
 from beaconry.plans import oracle_text as O
 from beaconry.plans import views as V
 
@@ -104,6 +105,11 @@ def bootstrap(spark, sf_dir):
     return rounded(out)
 
 
+def bootstrap_groups(spark, sf_dir):
+    """The same intervals by one draw per outcome and replicate; its draws have no SQL twin."""
+    return rounded(B.bootstrap(samples(spark, sf_dir), matched(spark, sf_dir)))
+
+
 def _bootstrap_sql() -> str:
     total, term, steps = 0.0, 0.36787944117144233, []
     for k in range(12):
@@ -227,6 +233,7 @@ QUERIES = {
     "eval_compare": (compare(False), _compare_sql("model")),
     "eval_compare_by_type": (compare(True), _compare_sql("model, type")),
     "eval_bootstrap": (bootstrap, _bootstrap_sql()),
+    "eval_bootstrap_groups": (bootstrap_groups, None),
     "eval_regex_only": (regex_only, _REGEX_ONLY_SQL),
     "eval_ablation": (ablation, _ABLATION_SQL),
     "eval_errors": (errors, f"with {_ERRORS} select sample, value, type, outcome, class from errs"),
