@@ -8,6 +8,7 @@ from beaconry.operators import evaluate as E
 from beaconry.operators import extract as X
 from beaconry.operators import refang as R
 from beaconry.operators import resample as B
+from beaconry.operators import scans as SC
 from beaconry.plans import oracle_text as O
 from beaconry.plans import views as V
 
@@ -247,6 +248,7 @@ QUERIES = {
         "select stage, count(*) as n, round(sum(ms), 9) as total, min(ms) as min, max(ms) as max, round(avg(ms), 9) as mean, round(stddev_samp(ms), 9) as stdev, "
         "max(ms) filter (where i = floor(c * 0.95)) as p95, max(ms) filter (where i = floor(c * 0.99)) as p99, median(ms) as median from o group by stage",
     ),
+    "timing_stats_spread": (lambda spark, sf_dir: rounded(SC.timing_stats(V.view(spark, sf_dir, TIMINGS, "events"), 20_000)), None),
     "throughput": (
         lambda spark, sf_dir: rounded(E.throughput(V.view(spark, sf_dir, TIMINGS, "events"))),
         f"select count(*) as samples, round(count(*) / (sum(ms) / 1000), 9) as per_second from ({TIMINGS})",
@@ -266,3 +268,5 @@ QUERIES = {
         f"round((select macro_f1 from ({_MACRO})), 9) as macro_f1, round(a.mcc, 9) as mcc from ({_MICRO}) m, a",
     ),
 }
+
+QUERIES["timing_stats_spread"] = (QUERIES["timing_stats_spread"][0], QUERIES["timing_stats"][1])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from beaconry import constants as C
 from beaconry.operators import extract as X
 from beaconry.operators import refang as R
+from beaconry.operators import scans as SC
 from beaconry.operators import store as S
 from beaconry.operators import verify as Y
 from beaconry.plans import oracle_text as O
@@ -259,6 +260,12 @@ def failure_streaks(spark, sf_dir):
     return S.failure_streaks(rows)
 
 
+def failure_streaks_spread(spark, sf_dir):
+    """All runs as one job's log, in ranges of at most 20,000 rows."""
+    rows = V.table(spark, sf_dir, "events").selectExpr("'job' as job", "event_id as seq", "event_type not in ('error', 'signup') as ok")
+    return SC.failure_streaks(rows, rows=20_000)
+
+
 def batch_summary(spark, sf_dir):
     return S.batch_summary(V.ioc_store(spark, sf_dir).withColumn("place", F.lit(1)), order="event_id")
 
@@ -360,6 +367,12 @@ QUERIES = {
         f"with m as (select floor(epoch_us({V.AS_OF} - max(cast(ts as timestamp))) / 6e7)::BIGINT as minutes from events) "
         "select minutes, 'Last feed fetch was ' || minutes::VARCHAR || ' minutes ago.' as message from m",
     ),
+    "failure_streaks_spread": (
+        failure_streaks_spread,
+        "with r as (select 'job' as job, event_id as seq, event_type not in ('error', 'signup') as ok from events), "
+        "m as (select *, sum(ok::INT) over (partition by job order by seq) as g from r) "
+        "select job, min(seq) as first_seq, count(*) as failures from m where not ok group by job, g having count(*) >= 3",
+    ),
     "failure_streaks": (
         failure_streaks,
         "with r as (select 'job' || user_id as job, event_id as seq, event_type not in ('error', 'signup') as ok from events), "
