@@ -213,6 +213,12 @@ def gt_filter(spark, sf_dir):
     return kept.select("sample", "category", "tag")
 
 
+_TIMING_SQL = (
+    f"with t as ({TIMINGS}), o as (select *, row_number() over (partition by stage order by ms) - 1 as i, count(*) over (partition by stage) as c from t) "
+    "select stage, count(*) as n, round(sum(ms), 9) as total, min(ms) as min, max(ms) as max, round(avg(ms), 9) as mean, round(stddev_samp(ms), 9) as stdev, "
+    "max(ms) filter (where i = floor(c * 0.95)) as p95, max(ms) filter (where i = floor(c * 0.99)) as p99, median(ms) as median from o group by stage"
+)
+
 QUERIES = {
     "eval_match": (matched, f"with {_MATCH} select * from matched"),
     "eval_micro": (on_match(E.micro), f"with {_MATCH} {sql_rounded(_MICRO, 'tp, fp, fn', *PRF_D)}"),
@@ -244,11 +250,9 @@ QUERIES = {
     ),
     "timing_stats": (
         lambda spark, sf_dir: rounded(E.timing_stats(V.view(spark, sf_dir, TIMINGS, "events"))),
-        f"with t as ({TIMINGS}), o as (select *, row_number() over (partition by stage order by ms) - 1 as i, count(*) over (partition by stage) as c from t) "
-        "select stage, count(*) as n, round(sum(ms), 9) as total, min(ms) as min, max(ms) as max, round(avg(ms), 9) as mean, round(stddev_samp(ms), 9) as stdev, "
-        "max(ms) filter (where i = floor(c * 0.95)) as p95, max(ms) filter (where i = floor(c * 0.99)) as p99, median(ms) as median from o group by stage",
+        _TIMING_SQL,
     ),
-    "timing_stats_spread": (lambda spark, sf_dir: rounded(SC.timing_stats(V.view(spark, sf_dir, TIMINGS, "events"), 20_000)), None),
+    "timing_stats_spread": (lambda spark, sf_dir: rounded(SC.timing_stats(V.view(spark, sf_dir, TIMINGS, "events"), 20_000)), _TIMING_SQL),
     "throughput": (
         lambda spark, sf_dir: rounded(E.throughput(V.view(spark, sf_dir, TIMINGS, "events"))),
         f"select count(*) as samples, round(count(*) / (sum(ms) / 1000), 9) as per_second from ({TIMINGS})",
@@ -268,5 +272,3 @@ QUERIES = {
         f"round((select macro_f1 from ({_MACRO})), 9) as macro_f1, round(a.mcc, 9) as mcc from ({_MICRO}) m, a",
     ),
 }
-
-QUERIES["timing_stats_spread"] = (QUERIES["timing_stats_spread"][0], QUERIES["timing_stats"][1])
