@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from beaconry.llm.common import map_rows, table
+from beaconry.llm.common import cut, map_rows, table
 from beaconry.llm.encode import default_path, encoder
 
 RANGE = 1024
@@ -36,9 +36,10 @@ def histogram(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def sums(hist: DataFrame) -> DataFrame:
-    """The histogram with its running and suffix sums; ``length`` is the context limit."""
+    """The histogram with its running and suffix sums; ``length`` is the context limit. It is
+    stored first, since it is read twice and each reading would encode all texts."""
     tokens = F.col("length") * F.col("n_docs")
-    ranged = hist.withColumn("_range", F.floor(F.col("length") / RANGE))
+    ranged = cut(hist).withColumn("_range", F.floor(F.col("length") / RANGE))
     ranges = ranged.groupBy("_range").agg(F.sum("n_docs").alias("_d"), F.sum(tokens).alias("_t"))
     before, everything = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
     ranges = ranges.select(

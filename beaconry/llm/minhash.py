@@ -21,6 +21,8 @@ table gives an empty table. Only doc_id and text are read.
 """
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +37,8 @@ PERCENT = 85
 #: fewer than 42 matches happen to it about thirty times in a million.
 COORDINATES = 64
 MATCHES = 42
+#: The stage links at .80: 51.2 matches on average with deviation 3.2; fewer than 36 happen to it about four times in a million.
+STAGE_PERCENT, STAGE_MATCHES = 80, 36
 #: Members in a block: two blocks of signatures or sets are all that a task holds.
 BLOCK = 512
 
@@ -80,14 +84,14 @@ def _key(shingles: np.ndarray) -> bytes:
     return a.to_bytes(8, "little") + b.to_bytes(8, "little")
 
 
-def _candidates(group: pa.Table) -> dict | None:
-    """Links of two blocks of a posting list whose signatures agree on enough coordinates."""
+def _candidates(group: pa.Table, matches: int) -> dict | None:
+    """Links of two blocks of a posting list whose signatures agree on ``matches`` coordinates."""
     ids = np.array(group.column("rep").to_pylist(), np.int64)
     sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.int32).reshape(len(ids), COORDINATES)
     if len(ids) < 2:
         return None
     if len(ids) == 2:
-        if (sigs[0] == sigs[1]).sum() < MATCHES:
+        if (sigs[0] == sigs[1]).sum() < matches:
             return None
         return {"a": [int(ids[0])], "b": [int(ids[1])]}
     order = np.argsort(ids)
@@ -97,7 +101,7 @@ def _candidates(group: pa.Table) -> dict | None:
         same = np.zeros((min(64, len(ids) - at), len(ids)), np.int16)
         for c in range(COORDINATES):
             same += sigs[at : at + 64, c, None] == sigs[None, :, c]
-        x, y = np.nonzero(same >= MATCHES)
+        x, y = np.nonzero(same >= matches)
         left.append(x + at)
         right.append(y)
     return _links(ids, np.concatenate(left), np.concatenate(right))
@@ -112,7 +116,7 @@ def _links(ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> dict | None:
     return {"a": ids[moved].tolist(), "b": ids[label[moved]].tolist()}
 
 
-def _confirmed(group: pa.Table) -> dict | None:
+def _confirmed(group: pa.Table, percent: int) -> dict | None:
     """Links of two blocks of a candidate group, from exact intersections of full sets."""
     ids = np.array(group.column("rep").to_pylist(), np.int64)
     if len(ids) < 2:
@@ -138,7 +142,7 @@ def _confirmed(group: pa.Table) -> dict | None:
         part[owner[lo:hi], column[lo:hi] - at] = 1
         both += part @ part.T
     union = sizes[:, None] + sizes[None, :] - both
-    return _links(ids, *np.nonzero(100 * both >= PERCENT * union))
+    return _links(ids, *np.nonzero(100 * both >= percent * union))
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -146,21 +150,21 @@ def described(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, n_shingles long, set_key binary, sig array<int>", _describe)
 
 
-def candidate_groups(reps: DataFrame) -> DataFrame:
+def candidate_groups(reps: DataFrame, matches: int = MATCHES) -> DataFrame:
     """(id, root) of the distinct sets (rep, sig) that some chain of signature matches ties together."""
     posted = reps.select("rep", F.posexplode("sig").alias("c", "v")).select(
         "rep", F.shiftleft(F.col("c").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("post")
     )
     met = posted.groupBy("post").agg(F.count("*").alias("n")).where("n > 1")
     shared = posted.join(met, "post").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "post"))).alias("posts"))
-    prefix = shared.where(F.size("posts") >= MATCHES).select(
-        "rep", F.explode(F.expr(f"slice(posts, 1, size(posts) - {MATCHES} + 1).post")).alias("post")
+    prefix = shared.where(F.size("posts") >= matches).select(
+        "rep", F.explode(F.expr(f"slice(posts, 1, size(posts) - {matches} + 1).post")).alias("post")
     )
     packed = reps.select("rep", F.col("sig"))
     full = cut(prefix.join(packed, "rep"))
     pack = map_rows(full, "post long, rep long, sig binary", _pack, rows=4096)
     pairs = block_pairs(pack, "post", "rep", None, BLOCK)
-    return components(map_groups(pairs, ["post", "_i", "_j"], "a long, b long", _candidates))
+    return components(map_groups(pairs, ["post", "_i", "_j"], "a long, b long", partial(_candidates, matches=matches)))
 
 
 def _pack(rows: dict) -> dict:
@@ -190,21 +194,22 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_rows(read, "id long, shingles binary, bytes long, set_key binary", pick)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document. Links need ``percent`` of
+    the union in common; ``matches`` is the number of equal coordinates that makes a candidate."""
     told = cut(described(docs))
     classes = told.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(
         F.min("doc_id").alias("rep"), F.first("sig").alias("sig")
     )
     classes = cut(classes)
-    groups = candidate_groups(classes.select("rep", "sig"))
+    groups = candidate_groups(classes.select("rep", "sig"), matches)
     # a doc_id that stands for more than one set keeps the sets of all its rows apart by their key
     wanted = groups.join(classes.select(F.col("rep").alias("id"), "set_key"), "id")
     members = wanted.join(full_sets(docs, groups.select("id")), ["id", "set_key"]).select(
-        F.col("id").alias("rep"), "root", "bytes", "shingles"
-    ).dropDuplicates(["rep", "bytes"])
+        F.col("id").alias("rep"), "root", "bytes", "shingles", "set_key"
+    ).dropDuplicates(["rep", "set_key"]).drop("set_key")
     blocks = block_pairs(cut(members), "root", "rep", "bytes", BLOCK)
-    links = map_groups(blocks.drop("bytes"), ["root", "_i", "_j"], "a long, b long", _confirmed)
+    links = map_groups(blocks.drop("bytes"), ["root", "_i", "_j"], "a long, b long", partial(_confirmed, percent=percent))
     joined = components(links).select(F.col("id").alias("rep"), "root")
     of_class = classes.select("set_key", "rep").join(joined, "rep", "left").select("set_key", F.coalesce("root", "rep").alias("component_id"))
     out = told.join(of_class, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -217,5 +222,5 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are the smallest of their group; rows with a null doc_id stay."""
-    found = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    found = near_duplicates(docs, STAGE_PERCENT, STAGE_MATCHES).where("not kept").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti")

@@ -275,6 +275,23 @@ def test_near_duplicates(docs, corpus):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {d: (len(s), want[d], want[d] == d) for d, s in sets.items()}
 
 
+def test_repeated_ids_keep_all_their_links(spark):
+    """One id with two texts of equally many shingles, and a near copy of each."""
+    a, b = ([f"{c}{i}" for i in range(100)] for c in "ab")
+    near = lambda words: [*words[:50], "changed", *words[51:]]
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (4, [f"c{i}" for i in range(100)])]
+    got = minhash.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+@pytest.mark.parametrize("percent, matches, linked", [(85, 42, False), (80, 36, True)])
+def test_threshold_is_a_parameter(spark, percent, matches, linked):
+    words = [f"w{i}" for i in range(60)]
+    near = [*words[:30], "changed", *words[31:]]  # 51 of 61 shingles
+    table = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near))], "doc_id long, text string")
+    assert {r.component_id for r in minhash.near_duplicates(table, percent, matches).collect()} == ({1} if linked else {1, 2})
+
+
 @pytest.mark.parametrize("block", [2, 7])
 def test_large_groups_in_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
