@@ -46,6 +46,9 @@ class WordEncoder(dict):
         if len(self) >= CACHE_WORDS:
             self.clear()
             self.marks = {"": b""}
+        if word.isalpha():  # ASCII letters, already lower-cased
+            ids = self[word] = array("H", [t.id for t in self.merge(word.decode("ascii"))]).tobytes()
+            return ids
         text = word.decode("utf-8", "replace")
         parts = _LATIN.fullmatch(text)
         if not parts:

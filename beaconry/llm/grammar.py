@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from beaconry.llm.common import fresh_folder, map_rows, table
+from beaconry.llm.common import U64, fresh_folder, map_rows, table
 from beaconry.llm.encode import default_path, encoder
 
 END = 2
@@ -39,6 +39,8 @@ LEAST_USES = 16
 PER_ROUND = 1 << 15
 #: Rounds end when one replaces less than this part of the symbols.
 STOP = 50
+#: Values of the pairs' hash.
+BUCKETS = 1 << 22
 #: Symbols below this are ids of the vocabulary.
 TERMINALS = 1 << 16
 
@@ -49,45 +51,53 @@ SHARD_SCHEMA = (
 
 
 def compress(sequence: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(sequence, ends, left, right): ``ends`` marks the last symbol of each document."""
-    sequence, ends = sequence.astype(np.int64), ends.astype(bool)
+    """(sequence, ends, left, right): ``ends`` marks the last symbol of each document.
+
+    Pairs are found by a hash of ``BUCKETS`` values: those in rare buckets cannot be
+    frequent, and a pair is looked up by its bucket. Of two frequent pairs that share
+    a bucket the better one is replaced first, the other in a later round.
+    """
+    sequence, ends = sequence.astype(np.uint32), ends.astype(bool)
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
     names = TERMINALS
+    ranks = np.full(BUCKETS, -1, np.int32)
     while len(sequence) > 1:
-        free = ~ends[:-1]
-        codes = sequence[:-1] << 32 | sequence[1:]
-        # a cheap hashed count first: pairs in rare buckets cannot be frequent
-        bucket = ((sequence[:-1] * 0x9E3779B1) ^ (sequence[1:] * 0x85EBCA77)) & 0x3FFFFF
-        hot = np.flatnonzero((np.bincount(bucket, minlength=1 << 22)[bucket] >= LEAST_USES) & free)
-        ordered = np.sort(codes[hot])
+        a, b = sequence[:-1], sequence[1:]
+        bucket = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) & np.uint32(BUCKETS - 1)
+        often = np.bincount(bucket, minlength=BUCKETS) >= LEAST_USES
+        hot = np.flatnonzero(often[bucket] & ~ends[:-1])
+        codes = a[hot].astype(U64) << U64(32) | b[hot]
+        ordered = np.sort(codes)
         if not len(ordered):
             break
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         counts = np.diff(np.append(first, len(ordered)))
-        pairs = ordered[first]
         best = np.flatnonzero(counts >= LEAST_USES)
         if not len(best):
             break
-        best = best[np.argsort(-counts[best], kind="stable")[:PER_ROUND]]
-        by_code = np.sort(best)
-        rank_of = _ranks(best, by_code)
-        place = np.minimum(np.searchsorted(pairs[by_code], codes[hot]), len(by_code) - 1)
-        known = pairs[by_code][place] == codes[hot]
+        pairs = ordered[first[best[np.argsort(-counts[best], kind="stable")[:PER_ROUND]]]]
+        one, two = (pairs >> U64(32)).astype(np.uint32), pairs.astype(np.uint32)
+        places = ((one * np.uint32(0x9E3779B1)) ^ (two * np.uint32(0x85EBCA77))) & np.uint32(BUCKETS - 1)
+        ranks[places[::-1]] = np.arange(len(pairs) - 1, -1, -1, dtype=np.int32)
+        found = ranks[bucket[hot]]
+        known = np.flatnonzero(found >= 0)
+        known = known[pairs[found[known]] == codes[known]]
+        ranks[places] = -1
+        at, mine = hot[known], found[known]
         rank = np.full(len(sequence) + 1, 1 << 30, np.int32)
-        rank[hot[known] + 1] = rank_of[place[known]]  # shifted by one: rank[i + 1] belongs to position i
-        here = rank[1:-1]
-        wins = np.flatnonzero((here < (1 << 30)) & (here < rank[:-2]) & (here <= rank[2:]))
-        uses = np.bincount(here[wins], minlength=len(best))
-        good = uses >= LEAST_USES
+        rank[at + 1] = mine  # shifted by one: rank[i + 1] belongs to position i
+        won = (mine < rank[at]) & (mine <= rank[at + 2])
+        wins, taken = at[won], mine[won]
+        good = np.bincount(taken, minlength=len(pairs)) >= LEAST_USES
         if not good.any():
             break
-        wins = wins[good[here[wins]]]
-        name = np.cumsum(good) - 1 + names
-        left.append(pairs[best][good] >> 32)
-        right.append(pairs[best][good] & 0xFFFFFFFF)
+        kept = good[taken]
+        wins, taken = wins[kept], taken[kept]
+        left.append(one[good].astype(np.int64))
+        right.append(two[good].astype(np.int64))
+        sequence[wins] = (np.cumsum(good) - 1 + names)[taken]
         names += int(good.sum())
-        sequence[wins] = name[here[wins]]
         ends[wins] = ends[wins + 1]
         keep = np.ones(len(sequence), bool)
         keep[wins + 1] = False
@@ -98,13 +108,6 @@ def compress(sequence: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     return sequence, ends, np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def _ranks(best: np.ndarray, by_code: np.ndarray) -> np.ndarray:
-    """Frequency rank of each selected pair, in code order."""
-    out = np.empty(len(best), np.int32)
-    out[np.searchsorted(by_code, best)] = np.arange(len(best), dtype=np.int32)
-    return out
-
-
 def expansion_lengths(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Ids that each rule stands for; a rule names only earlier symbols."""
     lengths = np.zeros(len(left), np.int64)
