@@ -247,6 +247,41 @@ def test_model(docs, corpus):
     assert all(r.train_tokens == n and r.score < 0 for r in got)
 
 
+def test_model_scores_meet_by_table_and_by_join(spark, docs, monkeypatch):
+    """Scores sent to the tasks and scores joined give the same sums, and both heads count each token once."""
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)
+    sent = sorted(mixing_model.scored(docs).collect(), key=key)
+    whole = mixing_model.frequent
+    monkeypatch.setattr(mixing_model, "frequent", lambda df, most: whole(df, 40 if "score" in df.columns else most))
+    joined = sorted(mixing_model.scored(docs).collect(), key=key)
+    for a, b in zip(sent, joined):
+        assert (a.doc_id, a.n_tokens, a.n_known) == (b.doc_id, b.n_tokens, b.n_known)
+        assert math.isclose(a.score, b.score, rel_tol=1e-9) and math.isclose(a.base_score, b.base_score, rel_tol=1e-9)
+
+
+def test_word_scores_against_formula(spark):
+    """Half from the exact counts, half from the bits; the words of a class never sum to more than one."""
+    rng = np.random.default_rng(5)
+    model = mixing_model.Model(
+        mixing_model.Code(np.ones(mixing_model.SYMBOLS, np.int64)),
+        [rng.integers(0, 65536, 1 << bits).astype(np.uint16) for bits in mixing_model.SLOT_BITS],
+    )
+    rows = [(k, f"w{i}".encode(), (i * 7 + k) % 5) for k in (0, 1) for i in range(30)] + [(0, b"long" * 400, 0), (1, b"", 3)]
+    pairs = spark.createDataFrame(rows, "class int, word binary, n long")
+    total = sum(n for *_, n in rows)
+    got = {(r["class"], bytes(r.word)): r for r in mixing_model.word_scores(pairs, model, total).collect()}
+    assert len(got) == len(rows)
+    for kind, word, n in rows:
+        c = sum(m for _, w, m in rows if w == word)
+        size = sum(m for k, _, m in rows if k == kind)
+        exact = (n + mixing_model.PRIOR * c / total) / (size + mixing_model.PRIOR)
+        bits = float(model.log10(np.array([kind]), [word])[0])
+        want = math.log10(0.5 * exact + 0.5 * 10**bits) if exact else math.log10(0.5) + bits
+        assert got[kind, word].c == c and math.isclose(got[kind, word].score, want, rel_tol=1e-9)
+    for kind in (0, 1):
+        assert sum(10**r.score for (k, _), r in got.items() if k == kind) <= 1 + 1e-9
+
+
 def test_model_is_a_distribution():
     """All one-byte continuations of a word sum to one."""
     code = mixing_model.Code(np.ones(mixing_model.SYMBOLS, np.int64))
