@@ -12,7 +12,9 @@ question and its answer: at least ``OVERLAP`` of the distinct word triples of ea
 (the answer is the last sentence of five words or more, else the last third).
 
 The index is built per shard of at most ``SHARD_WORDS`` item words, so what is sent
-to the tasks is bounded; further shards are further passes over the texts.
+to the tasks is bounded; further shards are further passes over the texts. The number
+of items, their mean length and the document frequencies are those of all items, so
+scores do not depend on where the items are cut.
 
 Defined results: null and empty texts and items without words match nothing; a
 null doc_id is reported as null; repeated rows or items each give their rows once
@@ -24,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -71,17 +74,27 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return " ".join(words[:at]), " ".join(words[at:] or words)
 
 
+@dataclass
+class Statistics:
+    """Of all items with words: how many, their mean length, and in how many of them each term of a shard occurs."""
+
+    n: int
+    mean: float
+    terms: np.ndarray
+    df: np.ndarray
+
+
 class Index:
-    """Inverted index of one shard of items, with block maxima."""
+    """Inverted index of one shard of items, with block maxima; without statistics the shard is all there is."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], statistics: Statistics | None = None):
         kept = [(i, t, word_hashes([folded(t)])[0]) for i, t in items]
         kept = sorted((x for x in kept if len(x[2])), key=lambda x: len(x[2]))
         self.ids = [i for i, _, _ in kept]
         self.parts = [tuple(triples(word_hashes([folded(p)])[0]) for p in question_and_answer(t)) for _, t, _ in kept]
         self.lengths = np.array([len(h) for _, _, h in kept], np.int64)
         n = len(kept)
-        mean = self.lengths.mean() if n else 1.0
+        mean = statistics.mean if statistics else self.lengths.mean() if n else 1.0
         counted = [np.unique(h, return_counts=True) for _, _, h in kept]
         term = np.concatenate([c[0] for c in counted]) if n else np.zeros(0, U64)
         tf = np.concatenate([c[1] for c in counted]).astype(float) if n else np.zeros(0)
@@ -89,7 +102,10 @@ class Index:
         order = np.lexsort((item, term))
         term, tf, item = term[order], tf[order], item[order]
         self.terms, first, df = np.unique(term, return_index=True, return_counts=True)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        total, everywhere = n, df
+        if statistics:
+            total, everywhere = statistics.n, statistics.df[np.searchsorted(statistics.terms, self.terms)]
+        idf = np.log(1 + (total - everywhere + 0.5) / (everywhere + 0.5))
         weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.lengths[item] / mean)) if n else tf
         # a window is sure to hold three quarters of its length of any item that goes through it
         own = np.bincount(item, weight, minlength=n) * np.minimum(1.0, 0.75 * WINDOW / np.maximum(self.lengths, 1))
@@ -220,9 +236,9 @@ class Index:
         return [(t, i, *values) for (t, i), values in found.items()]
 
 
-def shards(items: DataFrame, words: int = SHARD_WORDS) -> Iterator[list[tuple[int, str]]]:
-    """Items in shards of a bounded number of words. Sizes are summed over ids in
-    two levels (ranges of a thousand, then within a range), and one shard at a time is fetched."""
+def numbered(items: DataFrame, words: int = SHARD_WORDS) -> DataFrame:
+    """item_id, text, _shard: distinct items in shards of a bounded number of words. Sizes are
+    summed over ids in two levels (ranges of a thousand, then within a range)."""
     sized = cut(items.where("text is not null").select(F.col("item_id").cast("long"), "text").distinct().withColumn(
         "_words", F.greatest(F.lit(1), F.length("text") / 4).cast("long")
     ).withColumn("_range", F.floor(F.coalesce("item_id", F.lit(0)) / 1000)))
@@ -230,20 +246,48 @@ def shards(items: DataFrame, words: int = SHARD_WORDS) -> Iterator[list[tuple[in
         "_range", (F.sum("_sum").over(W.orderBy("_range")) - F.col("_sum")).alias("_before")
     )
     within = F.sum("_words").over(W.partitionBy("_range").orderBy("item_id", "text")) - F.col("_words")
-    numbered = cut(sized.withColumn("_within", within).join(before, "_range").select(
+    return cut(sized.withColumn("_within", within).join(before, "_range").select(
         "item_id", "text", F.floor((F.col("_before") + F.col("_within")) / words).alias("_shard")
     ))
-    for row in numbered.select("_shard").distinct().orderBy("_shard").toLocalIterator():
-        yield [(r.item_id, r.text) for r in numbered.where(F.col("_shard") == row._shard).orderBy("item_id", "text").collect()]
 
 
-def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, overlap: float = OVERLAP) -> DataFrame:
+def item_terms(items: DataFrame) -> DataFrame:
+    """_shard, length and the distinct term hashes of every item with words."""
+
+    def each(rows: dict) -> dict | None:
+        hashes, counts = word_hashes([folded(t) for t in rows["text"]])
+        parts = np.split(hashes, np.cumsum(counts)[:-1]) if len(counts) else []
+        kept = [(s, len(h), np.unique(h).view(np.int64).tolist()) for s, h in zip(rows["_shard"], parts) if len(h)]
+        return dict(zip(("_shard", "length", "terms"), map(list, zip(*kept)))) if kept else None
+
+    return cut(map_rows(items.select("_shard", "text"), "_shard long, length long, terms array<long>", each))
+
+
+def indexes(items: DataFrame, words: int = SHARD_WORDS) -> Iterator[Index]:
+    """One index per shard, one shard at a time on the driver: its items, and the frequencies of its terms."""
+    dealt = numbered(items, words)
+    counted = item_terms(dealt)
+    n, mean = counted.agg(F.count("*"), F.avg("length")).first()
+    terms = counted.select("_shard", F.explode("terms").alias("term"))
+    per = cut(terms.groupBy("term", "_shard").agg(F.count("*").alias("here")))
+    df = per.groupBy("term").agg(F.sum("here").alias("df"))
+    frequencies = cut(per.select("_shard", "term").join(df, "term"))
+    for row in counted.select("_shard").distinct().orderBy("_shard").toLocalIterator():
+        mine = F.col("_shard") == row._shard
+        found = frequencies.where(mine).select("term", "df").toPandas()
+        hashes = found["term"].to_numpy(np.int64).view(U64)
+        order = np.argsort(hashes)
+        statistics = Statistics(n, mean, hashes[order], found["df"].to_numpy(np.int64)[order])
+        yield Index([(r.item_id, r.text) for r in dealt.where(mine).orderBy("item_id", "text").collect()], statistics)
+
+
+def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, overlap: float = OVERLAP, words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of all leaks."""
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     read = docs.select(F.col("doc_id").cast("long"), "text")
     out = docs.sparkSession.createDataFrame([], schema)
-    for shard in shards(items):
-        sent = docs.sparkSession.sparkContext.broadcast(Index(shard))
+    for built in indexes(items, words):
+        sent = docs.sparkSession.sparkContext.broadcast(built)
 
         def each(rows: dict, sent=sent) -> dict | None:
             index = sent.value

@@ -7,8 +7,8 @@ falls below the fraction. Only built-in expressions are used.
 Defined results: a null text counts no words; null sources form one source that
 ranks last; a source without words has target 0 and rate 0, so its documents are
 not emitted; a null doc_id draws like the text "null"; repeated rows draw alike;
-an empty table gives an empty table; input columns keep their names, the working
-columns live in a struct beside them.
+an empty table gives an empty table; further input columns may have any name, those
+of the working columns included, for the input row is carried as one struct.
 """
 from __future__ import annotations
 
@@ -61,31 +61,32 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
 
 
 def with_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """``docs`` with a struct column ``_mix``: size, source_size, target, rate, copies."""
-    sized = docs.withColumn("_mix", F.struct(words(F.col("text")).alias("size")))
+    """Two structs a document: ``_row``, its input row, and ``_mix``: size, source_size, target, rate, copies.
+    Input columns are only reached through ``_row``, so none can clash with a working column."""
+    sized = docs.select(F.struct("*").alias("_row"), words(F.col("text")).alias("_size"), draw(F.col("doc_id"), seed).alias("_draw"),
+                        F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int").alias("_salt"))
     sources = cut(plan(docs.select("source", words(F.col("text")).alias("size")), weights, cap)).select(
         F.struct("source_size", "target", "rate").alias("_plan"), F.col("source").alias("_source")
     )
+    same = F.col("_row.source").eqNullSafe(F.col("_source"))
     if sources.limit(SENT_SOURCES + 1).count() <= SENT_SOURCES:
-        joined = sized.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("_source")))
+        joined = sized.join(F.broadcast(sources), same)
     else:
-        salted = sources.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int")
-        joined = sized.join(salted, F.col("source").eqNullSafe(F.col("_source")) & (salt == F.col("_salt"))).drop("_salt")
+        salted = sources.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = sized.join(salted, same & (F.col("_salt") == F.col("_part")))
     rate = F.col("_plan.rate")
-    copies = (F.floor(rate) + (draw(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")).cast("long")
-    mixed = F.struct("_mix.size", "_plan.source_size", "_plan.target", "_plan.rate", copies.alias("copies"))
-    return joined.withColumn("_mix", mixed).select(*docs.columns, "_mix")
+    copies = (F.floor(rate) + (F.col("_draw") < rate - F.floor(rate)).cast("long")).cast("long")
+    return joined.select("_row", F.struct(F.col("_size").alias("size"), "_plan.source_size", "_plan.target", "_plan.rate", copies.alias("copies")).alias("_mix"))
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: every document as often as it was drawn."""
-    return with_copies(docs, **options).withColumn("_copy", F.explode(F.expr("array_repeat(0, int(_mix.copies))"))).select(*docs.columns)
+    return with_copies(docs, **options).select("_row", F.explode(F.expr("array_repeat(0, int(_mix.copies))"))).select("_row.*")
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = with_copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", (F.col("_mix.size") * F.col("_mix.copies")).alias("taken"))
+    return mixed.select("_row.doc_id", "_mix.size", "_mix.source_size", "_mix.target", (F.col("_mix.size") * F.col("_mix.copies")).alias("taken"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from beaconry.llm import chaining, common, decontaminate, embedding, encode, grammar, lengths, minhash, mixing, mixing_model, secrets, toxicity
 
@@ -35,7 +36,7 @@ def operators(spark, corpus):
         "grammar": lambda d: grammar.stored(spark, d),
         "model": mixing_model.scored,
         "minhash": minhash.near_duplicates,
-        "mixing": lambda d: mixing.with_copies(d).select("doc_id", "_mix.*"),
+        "mixing": lambda d: mixing.with_copies(d).select("_row.doc_id", "_mix.*"),
         "secrets": secrets.scan,
     }
 
@@ -99,6 +100,15 @@ def test_leaks(spark):
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()) == [(1, 0), (4, 6)]
 
 
+def test_leaks_do_not_depend_on_shards(spark, docs, corpus):
+    """Items share words across shards, so frequencies of one shard would change the scores."""
+    texts = [corpus[i][1] for i in (2, 3, 4, 5)] + [" ".join(corpus[i][1].split()[:30]) + " own words of the item" for i in (6, 7, 8)]
+    items = spark.createDataFrame(list(enumerate(texts)) + [(3, texts[3]), (9, None), (10, "")], "item_id long, text string")
+    whole = sorted(decontaminate.leaks(docs, items, share=0.3).collect(), key=key)
+    assert decontaminate.numbered(items, 200).select("_shard").distinct().count() > 1
+    assert whole and sorted(decontaminate.leaks(docs, items, share=0.3, words=200).collect(), key=key) == whole
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 30), min_size=3, max_size=25), min_size=1, max_size=40), st.lists(st.integers(0, 30), max_size=60))
 def test_wand_is_exact(items, passage):
@@ -356,7 +366,7 @@ def test_range_join(spark, monkeypatch, per_pivot, block):
 
 
 def test_mixture(spark, docs, corpus):
-    rows = mixing.with_copies(docs).select("doc_id", "source", "_mix.*").collect()
+    rows = mixing.with_copies(docs).select("_row.doc_id", "_row.source", "_mix.*").collect()
     sizes = collections.Counter()
     for r in corpus:
         sizes[r[3]] += len(word_list(r[1]))
@@ -375,6 +385,10 @@ def test_mixture(spark, docs, corpus):
     for r in rows:
         assert r.target == pytest.approx(target[r.source]) and r.source_size == sizes[r.source]
         assert math.floor(r.rate) <= r.copies <= min(3, math.floor(r.rate) + 1)
+    named = docs.select("*", *[F.lit("x").alias(n) for n in ("_row", "_mix", "_copy", "_plan", "_source", "_size", "_draw", "_salt", "_part")])
+    out = mixing.emit(named)
+    assert out.columns == named.columns and {r._mix for r in out.select("_mix").distinct().collect()} == {"x"}
+    assert sorted(out.select(docs.columns).collect(), key=key) == sorted(mixing.emit(docs).collect(), key=key)
     assert mixing.emit(docs).count() == sum(r.copies for r in rows) and mixing.emit(docs).columns == docs.columns
 
 
