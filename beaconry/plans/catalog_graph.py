@@ -175,7 +175,9 @@ def campaigns(spark, sf_dir):
     return P.enrich(members(spark, sf_dir), F.lit(None).cast("timestamp"), sources).withColumn("detected_at", detected)
 
 
-MEMBERS = f"""m as ({V.MENTIONS_PLAIN}), {_NODES}, fam as (select distinct ioc as id, 'f' || k::VARCHAR as community from m),
+def campaign_ctes(mentions: str) -> str:
+    """Campaigns of the family ``k`` of mentions, whatever they are."""
+    return f"""m as ({mentions}), {_NODES}, fam as (select distinct ioc as id, 'f' || k::VARCHAR as community from m),
  mem as (select f.community, n.* from fam f join folded n on n.id = f.id where community in (select community from fam group by community having count(*) >= 3)),
  sev as (select *, case type when 'ip' then 'Medium' when 'domain' then 'Medium' when 'url' then 'High' when 'md5' then 'High' else 'Unknown' end as severity from mem),
  dom as (select community, arg_max(type, (n, -rk)) as dominant from (select community, type, count(*) as n, rank() over (order by type) as rk from mem group by community, type) group by community),
@@ -185,6 +187,9 @@ MEMBERS = f"""m as ({V.MENTIONS_PLAIN}), {_NODES}, fam as (select distinct ioc a
  count(*) filter (where severity = 'High') as n_high, count(*) filter (where severity = 'Medium') as n_medium from sev join dom using (community) group by sev.community)"""
 
 
+MEMBERS = campaign_ctes(V.MENTIONS_PLAIN)
+
+
 def on_campaigns(fn):
     return lambda spark, sf_dir: fn(campaigns(spark, sf_dir))
 
