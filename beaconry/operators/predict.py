@@ -161,18 +161,28 @@ def known_stage(reply: Column) -> Column:
     return out.otherwise("Reconnaissance")
 
 
-def next_stages(rows: DataFrame, key: str, stage: str) -> DataFrame:
-    """The three stages that follow, ending at the last, with falling confidence."""
+def progression(stage: Column) -> Column:
+    """The three stages that follow, ending at the last, with falling confidence; an unknown or
+    missing stage counts as the first."""
     names = F.array(*[F.lit(s) for s in C.STAGES])
-    at = F.greatest(F.array_position(names, F.col(stage)), F.lit(1))
-    steps = rows.select(key, F.col(stage).alias("stage"), at.alias("_at"), F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("step"))
-    tactic = F.element_at(names, F.least(F.col("_at") + F.col("step"), F.lit(len(C.STAGES))).cast("int"))
-    return steps.select(
-        key, "step", tactic.alias("tactic"), F.lit("T0000").alias("technique_id"),
-        F.concat(F.lit("Predicted "), tactic, F.lit(" technique")).alias("technique_name"),
-        F.round(F.greatest(F.lit(0.3), 0.8 - F.col("step") * 0.2), 4).alias("confidence"),
-        F.concat(F.lit("Natural kill chain progression from "), "stage").alias("reasoning"),
-    )
+    at = F.greatest(F.coalesce(F.array_position(names, stage), F.lit(0)), F.lit(1))
+
+    def step(number: Column) -> Column:
+        tactic = F.element_at(names, F.least(at + number, F.lit(len(C.STAGES))).cast("int"))
+        return F.struct(
+            tactic.alias("tactic"), F.lit("T0000").alias("technique_id"),
+            F.concat(F.lit("Predicted "), tactic, F.lit(" technique")).alias("technique_name"),
+            F.round(F.greatest(F.lit(0.3), 0.8 - number * 0.2), 4).alias("confidence"),
+            F.concat(F.lit("Natural kill chain progression from "), F.coalesce(stage, F.lit("unknown"))).alias("reasoning"),
+        )
+
+    return F.transform(F.array(*[F.lit(i) for i in (1, 2, 3)]), step)
+
+
+def next_stages(rows: DataFrame, key: str, stage: str) -> DataFrame:
+    """The steps of ``progression`` as rows."""
+    steps = rows.select(key, F.posexplode(progression(F.col(stage))).alias("_at", "_step"))
+    return steps.select(key, (F.col("_at") + 1).alias("step"), "_step.*")
 
 
 _REPLY = (
@@ -210,6 +220,18 @@ def parse_predictions(replies: DataFrame, reply: str = "raw_reply") -> DataFrame
     ).drop("_p")
 
 
+def forecast(replies: DataFrame, stage: str, reply: str = "raw_reply") -> DataFrame:
+    """``parse_predictions``; a reply that cannot be read or names no predictions gets the natural
+    progression from ``stage`` and general recommendations. An empty list of predictions is an answer and stays."""
+    parsed = parse_predictions(replies, reply)
+    missing = F.col("predictions").isNull()
+    return parsed.withColumns({
+        "fallback": missing,
+        "recommendations": F.when(missing, F.array(*[F.lit(r) for r in C.FALLBACK_RECOMMENDATIONS])).otherwise(F.col("recommendations")),
+        "predictions": F.coalesce("predictions", progression(F.col(stage))),
+    })
+
+
 def to_predict(campaigns: DataFrame, predictions: DataFrame, as_of: Column, hours: float = 48, limit: int = 10) -> DataFrame:
     """Active campaigns not predicted on the day yet; at most ten are considered."""
     active = campaigns.where(F.col("last_seen") >= as_of - F.make_dt_interval(hours=F.lit(int(hours)))).orderBy("campaign_id").limit(limit)

@@ -394,9 +394,22 @@ def parse_predictions(spark, sf_dir):
     return rows.select("conv_id", "turn", shown.alias("predictions"), F.size("recommendations").alias("n_recommendations"), "replied_stage")
 
 
+_STAGE_OF = "case when turn % 5 = 4 then null when turn % 5 = 3 then 'Elsewhere' " + " ".join(f"when conv_id % 14 = {i} then '{name}'" for i, name in enumerate(C.STAGES)) + " end"
+
+
+def forecast(spark, sf_dir):
+    rows = V.view(spark, sf_dir, PREDICTION_REPLIES, "conversations").withColumn("stage", F.expr(_STAGE_OF))
+    shown = F.array_join(F.transform("predictions", lambda p: F.concat_ws("/", p["tactic"], p["technique_id"], F.format_string("%.2f", p["confidence"]))), ";")
+    return P.forecast(rows, "stage").select("conv_id", "turn", "fallback", shown.alias("predictions"), F.array_join("recommendations", "|").alias("recommendations"))
+
+
 _PP_SQL = f"""select conv_id, turn, case (conv_id + turn) % 4 when 0 then 'Impact/T1/1.00;Discovery/T0000/0.25;Unknown/T0000/0.10' when 1 then 'Persistence/T0000/' || printf('%.2f', (conv_id % 100) / 100.0) when 2 then '' end as predictions,
  case (conv_id + turn) % 4 when 0 then 5 else 0 end::INT as n_recommendations, case (conv_id + turn) % 4 when 0 then 'Execution' when 2 then 'Impact' end as replied_stage from conversations"""
 
+_FORECAST_SQL = f"""with p as ({_PP_SQL}), l as (select {_STAGE_LIST} as names), f as (select p.*, (p.conv_id + p.turn) % 4 = 3 as fallback, greatest(coalesce(list_position(names, {_STAGE_OF}), 0), 1) as at1, names from p, l)
+ select conv_id, turn, fallback, case when fallback then names[least(at1 + 1, 14)] || '/T0000/0.60;' || names[least(at1 + 2, 14)] || '/T0000/0.40;' || names[least(at1 + 3, 14)] || '/T0000/0.30' else predictions end as predictions,
+ case when fallback then '{"|".join(C.FALLBACK_RECOMMENDATIONS)}' when n_recommendations = 5 then 'a|b|c|d|e' else '' end as recommendations from f"""
+
 PREDICTIONS = """select 'pred_' || cast(o_custkey as string) || '_' || cast(o_orderkey as string) as pred_id, 'camp' || cast(o_custkey as string) as campaign_id, case o_orderstatus when 'F' then 'Impact' when 'O' then 'Discovery' else 'Execution' end as tactic,
  cast(o_orderkey % 71 as double) / 100 as confidence, cast(o_orderdate as timestamp) as generated_at from orders"""
 
@@ -550,6 +563,7 @@ QUERIES = {
         "select event_id, step::INT as step, tactic, round(greatest(0.3::DOUBLE, 0.8::DOUBLE - step * 0.2::DOUBLE), 4) as confidence, 'Predicted ' || tactic || ' technique' as technique_name from x",
     ),
     "parse_predictions": (parse_predictions, _PP_SQL),
+    "forecast": (forecast, _FORECAST_SQL),
     "prediction_stats": (
         lambda spark, sf_dir: P.prediction_stats(predictions(spark, sf_dir)).withColumn("avg_confidence", F.round("avg_confidence", 6)),
         f"with p as ({PREDICTIONS}), t as (select tactic, count(*) as n, round(avg(confidence), 6) as avg_confidence from p group by tactic) select t.*, (select count(distinct pred_id) from p) as total_predictions, "
