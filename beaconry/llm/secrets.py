@@ -5,8 +5,10 @@ adds what no pattern names: a run of key characters that a byte-pair vocabulary
 cannot shorten. Such a vocabulary spends a token on three or four characters of
 language but on about one and a half of a random string, so a low ratio of
 characters to tokens exposes it. Runs that are known digests (pure hex), UUIDs,
-plain numbers, dates and addresses of files or hosts made of words are left out
-before the test, and so are base spans; what lies before and after them is tested. A
+plain numbers and dates are left out before the test, and so are base spans; what
+lies before and after them is tested. Paths and host names made of words take the test
+like any run; their words keep the ratio high. A run needs 20 characters and two of
+the classes lower case, upper case and digits. A
 run that is not random as a whole is divided at =, then /, then _, then -, and its
 parts are tested alike, so words joined to a secret do not hide it.
 
