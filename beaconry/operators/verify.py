@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from beaconry import constants as C
 from beaconry.functions.columns import clamp01, lookup
+from beaconry.functions.lineage import cut
 from beaconry.operators import extract as X
 
 
@@ -86,7 +87,12 @@ def gated_matches(matches: str, per_doc: int = 5) -> str:
 
 
 def batch_gate(observations: DataFrame, verdicts: DataFrame, top: int = 50) -> DataFrame:
-    """Verdicts for the ``top`` most confident of a batch; the rest stay unverified."""
+    """Verdicts for the ``top`` most confident of a batch; the rest stay unverified.
+
+    The matches are stored once, without texts, since the cut at ``top`` and the rows
+    both need them and the text rules behind them should run a single time.
+    """
+    observations = cut(observations.select("doc_id", "place", "value", "type", "confidence"))
     order = [F.desc("confidence"), F.asc("doc_id"), F.asc("place")]
     chosen = observations.orderBy(*order).limit(top).select("doc_id", "value", F.lit(True).alias("chosen"))
     joined = observations.join(F.broadcast(chosen), ["doc_id", "value"], "left").join(
