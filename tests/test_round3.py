@@ -19,3 +19,11 @@ def test_stream_of_file_and_folder(spark, tmp_path):
     for name, rows in (("documents", 40), ("events", 7)):
         out = J.run_available(V.stream(spark, str(tmp_path), name), "append", f"{tmp_path}/run-{name}")
         assert sorted(r.id for r in out.collect()) == list(range(rows))
+
+
+def test_decoded_name_before_a_foreign_letter(spark):
+    run = base64.b64encode("z{bz.jyݶ and more".encode()).decode()
+    plain = base64.b64encode("٥.٥.٥.٥ no indicator".encode()).decode()
+    docs = spark.createDataFrame([(1, f"x {run} y"), (2, f"x {plain} y")], "doc_id int, text string")
+    out = {r.doc_id: r.clean for r in R.only(docs, "base64_runs").collect()}
+    assert out[1].endswith("[DECODED_BASE64_IOCS]\nz{bz.jyݶ and more") and out[2] == f"x {plain} y"
