@@ -27,3 +27,18 @@ def test_decoded_name_before_a_foreign_letter(spark):
     docs = spark.createDataFrame([(1, f"x {run} y"), (2, f"x {plain} y")], "doc_id int, text string")
     out = {r.doc_id: r.clean for r in R.only(docs, "base64_runs").collect()}
     assert out[1].endswith("[DECODED_BASE64_IOCS]\nz{bz.jyݶ and more") and out[2] == f"x {plain} y"
+
+
+def test_alert_timers_with_slow_triggers(spark, tmp_path, monkeypatch):
+    quick = A.merged
+
+    def slow(batch):
+        time.sleep(9)
+        return quick(batch)
+
+    monkeypatch.setattr(A, "merged", slow)
+    schema = "channel string, severity string, item string, lane int"
+    spark.createDataFrame([("hot", "High", f"h{i}", i % 2) for i in range(25)], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    out = A.run_until_quiet(A.alerts(stream, F.col("lane"), seconds=3), str(tmp_path), 3).collect()
+    assert sorted((r.reason, len(r["items"])) for r in out) == [("full", 10), ("full", 10), ("timer", 5)]
