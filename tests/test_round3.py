@@ -42,3 +42,12 @@ def test_alert_timers_with_slow_triggers(spark, tmp_path, monkeypatch):
     stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
     out = A.run_until_quiet(A.alerts(stream, F.col("lane"), seconds=3), str(tmp_path), 3).collect()
     assert sorted((r.reason, len(r["items"])) for r in out) == [("full", 10), ("full", 10), ("timer", 5)]
+
+
+def test_fetch_age_below_two_minutes(spark, tmp_path):
+    events = "select 1L as event_id, 1L as user_id, 'view' as event_type, 1D as value, timestamp '2024-01-30 23:59:30' as ts"
+    spark.sql(events).write.parquet(f"{tmp_path}/events.parquet")
+    row = CS.QUERIES["fetch_age"][0](spark, str(tmp_path)).first()
+    assert tuple(row) == (0, "Last feed fetch was 0 minutes ago.")
+    checks = V.view(spark, str(tmp_path), V.FEED_CHECKS, "events")
+    assert S.fetch_age(checks, CS.as_of()).first().message == "Last feed fetch was just now."
