@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from beaconry.operators import refang as R
 from beaconry.operators import store as S
 from beaconry.plans import catalog_store as CS
+from beaconry.plans import catalog_stream as CT
 from beaconry.plans import views as V
 from beaconry.streaming import alerts as A
 from beaconry.streaming import jobs as J
@@ -51,3 +52,21 @@ def test_fetch_age_below_two_minutes(spark, tmp_path):
     assert tuple(row) == (0, "Last feed fetch was 0 minutes ago.")
     checks = V.view(spark, str(tmp_path), V.FEED_CHECKS, "events")
     assert S.fetch_age(checks, CS.as_of()).first().message == "Last feed fetch was just now."
+
+
+def test_ingest_triggers_are_many_tasks_work(spark, monkeypatch):
+    tasks, ids = [], []
+
+    def record(stream, normalize, as_of, tables, progress):
+        def note(batch, epoch):
+            tasks.append(batch.rdd.getNumPartitions())
+            ids.extend(r.doc_id for r in batch.select("doc_id").collect())
+
+        stream.writeStream.option("checkpointLocation", progress).foreachBatch(note).trigger(availableNow=True).start().awaitTermination()
+
+    monkeypatch.setattr(J, "ingest_cycle", record)
+    sf_dir = "/root/testdata/sf0.001"
+    CT.ingested(spark, sf_dir)
+    every = {r.doc_id for r in V.table(spark, sf_dir, "documents").select("doc_id").collect()}
+    assert set(ids) == every and len(ids) > len(every)  # a part comes again
+    assert len(tasks) >= 4 and all(n > 1 for n in tasks)
