@@ -1,5 +1,8 @@
 """Inputs of the third review that its fixes came back for: odd characters beside names."""
+from collections import Counter
+
 from beaconry.operators import extract as X
+from beaconry.plans import catalog_graph as CG
 
 
 def test_domain_edges_beyond_ascii(spark):
@@ -22,3 +25,14 @@ def test_domain_edges_beyond_ascii(spark):
     for doc, value, start in con.execute(f"select doc_id, value, start from ({O.raw_matches('domain', 'doc_id')}) order by doc_id, start").fetchall():
         want.setdefault(doc, []).append((value, start))
     assert found == want and 0 not in found and found[3] == [("-b.evil.top", 1)]
+
+
+def test_bridged_families_of_one_and_two(spark, tmp_path):
+    # the ids end after one document of a family, leave a gap, and go on with two, one and one
+    ids = [*range(61), *range(76, 90), 95, 96, *range(102, 128)]
+    spark.createDataFrame([(i,) for i in ids], "doc_id bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    sizes = Counter(i // 6 for i in ids)
+    want = {(f"d{min(i for i in ids if i // 6 == f):012d}", n) for f, n in sizes.items()}
+    assert {1, 2, 6} <= set(sizes.values())
+    got = {(r["first"], r.members) for r in CG.communities_bridged(spark, str(tmp_path)).collect()}
+    assert got == want
