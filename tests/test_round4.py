@@ -1,7 +1,10 @@
 """Inputs of the third review that its fixes came back for: odd characters beside names."""
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from beaconry.operators import extract as X
+from beaconry.operators import refang as R
 from beaconry.plans import catalog_graph as CG
 
 
@@ -36,3 +39,23 @@ def test_bridged_families_of_one_and_two(spark, tmp_path):
     assert {1, 2, 6} <= set(sizes.values())
     got = {(r["first"], r.members) for r in CG.communities_bridged(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_prose_is_set_aside_and_put_back(spark):
+    words = "plain words of prose, and more of them. They go on and\non for a while"
+    marks = [
+        "x", "evil[.]top", "spaced . evil . top", "eve AT evil.top", "ops [at] evil.top", "bad DOT cc", "broken\n.evil.top", "<b>", "[t](http://", ")",
+        "CVE 2022 12345", "hxxp://a.ru", "http://cut.ru\n", "45 . 77 . 1 . 2", "ª", "&ordf;", "été où", "aHR0cDovL2I2NC1ob3N0LnJ1L2EuZXhl", "`q.w`", "Antidisestablishmentarian", "1234567890",
+    ]
+    texts = [f"{a} {words} {b} {words} {c}" for a in marks for b in marks for c in ("", words)] + [f"{a}{words}{a}" for a in marks]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(8)
+    got = {r.id: r.clean for r in R.refang(rows).collect()}
+    # rules one after the other, each as a job of its own: no prose is set aside there
+    kept = rows.withColumn("clean", F.col("text"))
+    kept = R.refang(kept, "clean", "clean", skip=R.CHAIN.keys() | {"punycode"})
+    for some in (["base64_runs", "markdown", "split_lines"], ["brackets", "dots", "slashes"], ["at_signs", "url_schemes", "ip_encodings"], ["cve_forms", "punycode"]):
+        kept = R.only(kept, *some, text="clean").localCheckpoint()
+    want = {r.id: r.clean for r in kept.collect()}
+    assert got == want
+    apart = rows.select(F.expr(R.beside_prose("text", lambda t: f"string(length({t}))")).alias("n"), F.length("text").alias("of"))
+    assert apart.where("try_cast(n as int) < of - 40").count() > len(texts) // 2  # most texts are rewritten without their prose
