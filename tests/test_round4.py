@@ -59,3 +59,25 @@ def test_prose_is_set_aside_and_put_back(spark):
     assert got == want
     apart = rows.select(F.expr(R.beside_prose("text", lambda t: f"string(length({t}))")).alias("n"), F.length("text").alias("of"))
     assert apart.where("try_cast(n as int) < of - 40").count() > len(texts) // 2  # most texts are rewritten without their prose
+
+
+def test_urls_beside_decoded_bytes(spark, tmp_path):
+    """Addresses, and their places behind other decoded names, where white space, digits and letters are not ASCII."""
+    import base64
+
+    import duckdb
+
+    from beaconry.plans import catalog_text as CT
+
+    decoded = [
+        "http://a.b/c\x85", "http://a.b/c\x13-\xa0", "x.top AT y", "q . w.ru http://z.b/", "é1234567890 x.top", "٣12345678 x.top", "x.topAT y",
+        "éAT x.top", "é0x2d4d0a0b x.top", "http://a.b/c\x0bd", "x.top é0055.0115.012.013", "DOTé x.top", "CVE 2022 12345 x.top", "http://a.b\x0b\n.top/x",
+    ]
+    docs = [(12 * i + 4, "run " + base64.b64encode(t.encode()).decode(), "s") for i, t in enumerate(decoded)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    run, sql = CT.QUERIES["extract_url"]
+    got = sorted((r.doc_id, r.value, r.start, r.end) for r in run(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f'select doc_id, value, start, "end" from ({sql}) order by all').fetchall()
+    assert got == want and len(got) > 4 * len(docs)
