@@ -6,19 +6,22 @@ class alone, with the last byte, the last two, three and four bytes of the word,
 and the class with the word so far. Contexts are hashed into tables of fixed size
 that hold how often the bit was 0 or 1 in training. A mixer adds the predictions in
 the logistic domain; its weights are gated by how much each context has seen and by
-the place in the word, and are learned online from training tokens, whose own
-occurrence is first taken out of the counts. An adaptive map refines the result.
+the place in the word, and are learned online from all training tokens, whose own
+occurrence is first taken out of the counts: each task learns from its share of the
+(class, word) pairs, and the tasks' weights are averaged. An adaptive map, counted on
+the way, refines the result.
 Half of a word's probability comes from these bits, half from the exact counts of
 the word in its class and in all classes, which grow with the corpus and know no
 collisions. The sum of log10 probabilities is the score; bits per byte follow from it.
 
-The document class is the component of a small mixture model over frequent words
-that explains the document so far, looked at again after 8, 16, 32, 64, ... words, so a
+The document class is the component of a small mixture model over the most frequent
+words of all training documents, fitted to the counts of all of them, that explains the document so far, looked at again after 8, 16, 32, 64, ... words, so a
 prediction depends on earlier words of the same document only. Given class and word
 it is a fixed number, so each distinct (class, word) of all documents is scored once.
 
 Scores and counts are joins, not broadcasts: only the ``HEAD`` most frequent (class,
-word) are sent to the tasks, and all others meet their scores by a shuffle.
+word) are sent to the tasks, and all others meet their scores by a shuffle. Both go by
+a 64-bit hash of class and word.
 
 Defined results: null and empty texts are one end token; a null doc_id counts as
 trained on; repeated rows are scored and counted each; without training documents
@@ -31,38 +34,46 @@ import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beaconry.llm.common import U64, cut, hashed_sample, map_groups, map_rows, mix64, table
+from beaconry.llm.common import U64, Lookup, cut, map_groups, map_rows, mix64, table, text_chunks, word_hashes
 
-#: (class, word) pairs whose scores are sent to every task (about 60 MB there).
+#: (class, word) pairs whose scores are sent to every task (about 14 MB there).
 HEAD = 1 << 18
 #: Document classes, the frequent words that tell them apart, and the words before the first look at the class.
 CLASSES, CLASS_WORDS, STRETCH = 8, 256, 8
 #: Bits of the slot numbers of each context's table; all tables together have 14.7 million slots of two bytes.
 SLOT_BITS = (15, 20, 20, 21, 21, 22, 22)
 INPUTS = len(SLOT_BITS)
-#: Documents (whole texts) whose frequent words tell the classes apart, and (class, word) pairs of all training
-#: documents that train the mixer, both picked by a hash (the fit's documented bounds).
-CLASS_DOCS, MIXER_PAIRS = 2_000, 1 << 17
+#: Documents whose class words the classes' fit starts from, and its rounds over all training documents after that.
+START_DOCS, FIT_ROUNDS = 2_000, 6
+#: Occurrences from which a task tells of a word, as long as the class words are certain without the others.
+TOLD = 16
+#: Units of the classes' log shares: sums of integers are the same in any order.
+LOG_UNIT = 4096
 #: Weight of the exact counts beside the bits, and of the counts over all classes beside those of one.
 EXACT, PRIOR = 0.5, 2_000.0
 #: Distinct (class, word) pairs that one counting or one scoring task gets, and pairs a worker gathers before it hands them on.
 PAIRS_A_TASK, SCORED_A_TASK, GATHERED = 2_000_000, 200_000, 400_000
+#: Pairs that one task of the mixer learns from.
+LEARNED_A_TASK = 200_000
 BATCH = 8_000
 #: Words of a step of the mixer.
 STEP = 1000
 BLOCK_BITS = 16
 END_OF_WORD, END_OF_TEXT, SYMBOLS = 256, 257, 258
+SPACES = [bytes([b]) for b in b" \t\n\v\f\r"]
 LEVELS = np.array([0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 512, 2048, 16384], np.int64)
 #: Weight sets: how much the word so far has been seen, and whether it has begun.
 GATES = 32
 CELLS = 24
 
+_SLOT = U64(0x9E3779B97F4A7C15)
 _SPREAD = mix64(np.arange(1, 4097, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
@@ -102,6 +113,25 @@ def gathered(df: DataFrame, parts_of) -> DataFrame:
     return pairs.groupBy("class", "word").agg(F.sum("n").alias("n"))
 
 
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    """64-bit hash of each word, 0 for the end of a text."""
+    out = np.zeros(len(words), U64)
+    out[[i for i, w in enumerate(words) if w]] = word_hashes(words)[0]
+    return out
+
+
+def keys_of(classes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return mix64(hashes + (classes.astype(U64) + U64(1)) * U64(0xC2B2AE3D27D4EB4F))
+
+
+def stretch_sizes(words: int) -> Iterator[int]:
+    """Sizes of the stretches of a text, up to ``words`` at least."""
+    at, size = 0, STRETCH
+    while at < words:
+        yield size
+        at, size = at + size, min(2 * size, 512) if at else size
+
+
 class Classes:
     """Running class of a document: the component of a mixture of multinomials over the
     frequent words that explains best what was read so far, 0 before any. Stretches
@@ -109,19 +139,16 @@ class Classes:
 
     def __init__(self, words: list[bytes], logs: np.ndarray):
         self.rank = {w: i for i, w in enumerate(words)}
-        self.logs = logs  # word by component
+        self.logs = np.round(logs * LOG_UNIT).astype(np.int64)  # word by component
+        self.known = Lookup(hashes_of(words))
 
     @staticmethod
-    def fit(words: list[bytes], counts: list[list[int]], components: int, rounds: int = 25, restarts: int = 8) -> "Classes":
-        """Expectation maximization over the words' counts in a bounded sample of texts, in a fixed order of texts."""
-        x = np.array(sorted(counts), float).reshape(len(counts), len(words))
-        x = x[x.sum(axis=1) > 0]
-        if not len(x):
-            return Classes(words, np.zeros((len(words), 1)))
-        x = np.minimum(x, 20)
+    def start(counts: np.ndarray, components: int, rounds: int = 25, restarts: int = 8) -> tuple[np.ndarray, np.ndarray]:
+        """Log shares of words and log priors to start from: expectation maximization over the words' counts in some texts."""
+        x = np.unique(counts, axis=0).astype(float)
         share = x / x.sum(axis=1, keepdims=True)
         likely = np.flatnonzero(x.sum(axis=1) >= min(10, x.sum(axis=1).max()))
-        rng, best = np.random.default_rng(11), (-np.inf, None)
+        rng, best = np.random.default_rng(11), (-np.inf, None, None)
         for _ in range(restarts):  # from texts drawn at random; the likeliest fit counts
             start = share[rng.choice(likely, min(components, len(likely)), replace=False)]
             logs, prior = np.log(start * 0.7 + 0.3 * share.mean(axis=0) + 1e-4).T, np.zeros(len(start))
@@ -136,8 +163,35 @@ class Classes:
                 prior = np.log((p.sum(axis=0) + 1) / (len(x) + len(prior)))
             found = float((top + np.log(total)).sum())
             if found > best[0]:
-                best = found, logs
-        return Classes(words, best[1])
+                best = found, logs, prior
+        return best[1:]
+
+    def of_words(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The class of each word of texts of ``counts`` words, and of each text's end, as ``stretches`` has them."""
+        begins = np.cumsum(counts) - counts
+        top = int(counts.max(initial=0))
+        steps = np.array([0, *accumulate(stretch_sizes(top))])  # up to the first beyond the longest text
+        per = np.searchsorted(steps, counts)  # stretches with words
+        text = np.repeat(np.arange(len(counts)), per)
+        turn = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
+        rank = self.known.rows(hashes)
+        hit = np.flatnonzero(rank >= 0)
+        sizes = np.minimum(steps[turn + 1], counts[text]) - steps[turn]
+        of = np.repeat(np.arange(len(text)), sizes)[hit]
+        sums = np.zeros((len(text), self.logs.shape[1]), np.int64)
+        if len(hit):
+            cuts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            sums[of[cuts]] = np.add.reduceat(self.logs[rank[hit]], cuts, axis=0)
+        seen = np.bincount(of, minlength=len(text)) > 0
+        first = np.cumsum(per) - per
+        total, met = np.cumsum(sums, axis=0), np.cumsum(seen)
+        before = np.concatenate((np.zeros((1, sums.shape[1]), np.int64), total))
+        met = np.concatenate(([0], met))
+        after = np.where(met[1:] > met[first[text]], (total - before[first[text]]).argmax(axis=1) + 1, 0) if len(text) else np.zeros(0, np.int64)
+        stretch = np.where(turn > 0, np.concatenate(([0], after[:-1])), 0) if len(text) else after
+        ends = np.zeros(len(counts), np.int64)
+        ends[per > 0] = after[(first + per - 1)[per > 0]]
+        return np.repeat(stretch, sizes), ends
 
     def stretches(self, words: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         """(class, words) in order; a last stretch without words gives the class at the end."""
@@ -179,7 +233,7 @@ class Code:
         self.size = np.array([len(p) for p in paths], np.int64)
         self.first = np.cumsum(self.size) - self.size
         flat = [x for p in paths for x in p]
-        self.node = np.array([n for n, _ in flat], np.int64)
+        self.spread = np.array([n + 1 for n, _ in flat], U64) * U64(0xC2B2AE3D27D4EB4F) * _SLOT
         self.bit = np.array([b for _, b in flat], np.int8)
 
 
@@ -207,14 +261,16 @@ def spelled(code: Code, classes: np.ndarray, words: list[bytes]) -> tuple[np.nda
     contexts = [kind, kind + last[0] * U64(0xFF51AFD7ED558CCD), mix64(two + kind), mix64(three + kind), mix64(four + U64(2)),
                 mix64(four + (last[4] << U64(36)) + (last[5] << U64(45)) + kind), mix64(so_far + kind)]
     size = code.size[data]
-    owner = np.repeat(np.arange(len(data)), size)
-    step = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-    at = code.first[data][owner] + step
-    node = (code.node[at].astype(U64) + U64(1)) * U64(0xC2B2AE3D27D4EB4F)
+    at = np.repeat(code.first[data] - np.cumsum(size) + size, size)
+    at += np.arange(len(at))
+    node = code.spread[at]
     slots = []
     for context, bits in zip(contexts, SLOT_BITS):
-        slots.append((((context[owner] + node) * U64(0x9E3779B97F4A7C15)) >> U64(64 - bits)).view(np.int64))
-    return word[owner], code.bit[at], (place[owner] > 0).astype(np.int64), slots
+        slot = np.repeat(context * _SLOT, size)
+        slot += node
+        slot >>= U64(64 - bits)
+        slots.append(slot.view(np.int64))
+    return np.repeat(word, size), code.bit[at], np.repeat((place > 0).astype(np.int64), size), slots
 
 
 _P = (np.arange(65536) >> 4) / 4095.0
@@ -227,6 +283,14 @@ def stretch_table() -> np.ndarray:
     return np.log(p / (1 - p)).astype(np.float32)
 
 
+def without_own() -> tuple[np.ndarray, np.ndarray]:
+    """Logit and level of each (stored share and level, bit) once that bit is taken out of the counts."""
+    n = np.maximum(_N - 1, 0)[:, None]
+    p = (np.clip((_P * _N)[:, None] - np.array([0, 1]), 0, n) + 0.4) / (n + 0.8)
+    level = np.searchsorted(LEVELS, n[:, 0], side="right") - 1
+    return np.log(p / (1 - p)).astype(np.float32).ravel(), np.repeat(level, 2)
+
+
 def pack(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Twelve bits of the share of ones, four of how many observations there were."""
     n = zeros.astype(np.int64) + ones
@@ -273,47 +337,94 @@ class Model:
             out.append(np.bincount(word, -np.log1p(np.exp(-signed)), minlength=len(words[at : at + BATCH])))
         return np.concatenate(out) / math.log(10) if out else np.zeros(0)
 
-    def learn(self, classes: np.ndarray, words: list[bytes], counts: np.ndarray, rate: float = 0.3, passes: int = 2) -> None:
-        """Online steps for the mixer, then the adaptive map, over training tokens.
+    def learn(self, classes: np.ndarray, words: list[bytes], counts: np.ndarray, rate: float = 0.3) -> np.ndarray:
+        """Online steps for the mixer over training tokens, in the order of their hashes; the (bit, gate, cell) sums for the map.
 
         A token's own occurrence leaves the counts first: a context seen once, by
-        the token itself, then counts as unseen.
+        the token itself, then counts as unseen. The first eighth of the steps moves the weights only.
         """
-        order = np.random.default_rng(7).permutation(len(words))
-        groups = [order[at : at + STEP] for at in range(0, len(order), STEP)]
+        order = np.argsort(mix64(keys_of(classes, hashes_of(words))), kind="stable")
+        logit, level_of = without_own()
         square = np.full(self.weights.shape, 1e-3)
-        sums = np.zeros((2, GATES, CELLS + 1))
-        for turn in range(passes + 1):
-            for group in groups:
-                word, bit, begun, slots = spelled(self.code, classes[group], [words[i] for i in group])
-                weight = np.minimum(counts[group], 1000)[word].astype(float)
-                inputs, levels, z = [], [], np.zeros(len(bit))
-                for i, slot in enumerate(slots):
-                    seen = self.tables[i][slot]
-                    n = np.maximum(_N[seen] - 1, 0)
-                    p = (np.clip(_P[seen] * _N[seen] - bit, 0, n) + 0.4) / (n + 0.8)
-                    inputs.append(np.log(p / (1 - p)))
-                    levels.append(np.searchsorted(LEVELS, n, side="right") - 1)
-                gate = levels[-1] * 2 + begun
-                for i in range(INPUTS):
-                    z += inputs[i] * self.weights[i].reshape(-1)[levels[i] * GATES + gate]
-                z = np.clip(z, -11.9, 11.9)
-                if turn == passes:
-                    cell = np.round((z + 12) * (CELLS / 24)).astype(np.int64)
-                    np.add.at(sums[1], (gate, cell), weight * bit)
-                    np.add.at(sums[0], (gate, cell), weight * (1 - bit))
-                    continue
-                error = weight * (bit - 1 / (1 + np.exp(-z))) / weight.sum() * 100
-                for i in range(INPUTS):
-                    slope = np.bincount(levels[i] * GATES + gate, error * inputs[i], minlength=16 * GATES).reshape(16, GATES)
-                    square[i] += slope * slope
-                    self.weights[i] += (rate * slope / np.sqrt(square[i])).astype(np.float32)
+        size = GATES * (CELLS + 1)
+        sums = np.zeros((2, size))
+        for start in range(0, len(order), STEP):
+            group = order[start : start + STEP]
+            word, bit, begun, slots = spelled(self.code, classes[group], [words[i] for i in group])
+            weight = np.minimum(counts[group], 1000).astype(float)[word]
+            inputs, places, z = [], [], np.zeros(len(bit))
+            for table_, slot in zip(self.tables, slots):
+                seen = table_.take(slot) * np.int64(2) + bit
+                inputs.append(logit.take(seen))
+                places.append(level_of.take(seen))
+            gate = places[-1] * 2 + begun
+            for i in range(INPUTS):
+                places[i] = places[i] * GATES + gate
+                z += inputs[i] * self.weights[i].reshape(-1).take(places[i])
+            z = np.clip(z, -11.9, 11.9)
+            if 8 * (start + STEP) > len(order):
+                cell = gate * (CELLS + 1) + np.round((z + 12) * (CELLS / 24)).astype(np.int64)
+                ones = np.bincount(cell, weight * bit, minlength=size)
+                sums[1] += ones
+                sums[0] += np.bincount(cell, weight, minlength=size) - ones
+            error = weight * (bit - 1 / (1 + np.exp(-z))) / weight.sum() * 100
+            for i in range(INPUTS):
+                slope = np.bincount(places[i], error * inputs[i], minlength=16 * GATES).reshape(16, GATES)
+                square[i] += slope * slope
+                self.weights[i] += (rate * slope / np.sqrt(square[i])).astype(np.float32)
+        return sums.reshape(2, GATES, CELLS + 1)
+
+    def refine_by(self, sums: np.ndarray) -> None:
         base = np.linspace(-12, 12, CELLS + 1)
         p = 1 / (1 + np.exp(-base))
         mean = (sums[1] + 20 * p) / (sums[0] + sums[1] + 20)
         self.refined = np.clip(np.log(mean / (1 - mean)), -12, 12)
 
 
+def learned(pairs: DataFrame, code: Code, tables: list[np.ndarray]) -> Model:
+    """The model whose mixer has learned from all ``pairs``: the tasks' weights, averaged by their numbers of pairs, and their map's sums."""
+    model = Model(code, tables)
+    sent = pairs.sparkSession.sparkContext.broadcast(model)
+    tasks = max(1, math.ceil(pairs.count() / LEARNED_A_TASK))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
+            return
+        rows = pa.Table.from_batches(held)
+        own = Model(sent.value.code, sent.value.tables)
+        sums = own.learn(rows.column("class").to_numpy(), rows.column("word").to_pylist(), rows.column("n").to_numpy())
+        yield pa.RecordBatch.from_arrays([
+            pa.array([rows.num_rows]), pa.array([own.weights.astype(float).tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary()),
+        ], names=["pairs", "weights", "sums"])
+
+    found = pairs.select("class", "word", "n").repartition(tasks, "class", "word").mapInArrow(run, "pairs long, weights binary, sums binary").collect()
+    if found:
+        found.sort(key=lambda r: (r.pairs, bytes(r.weights)))
+        total = sum(r.pairs for r in found)
+        model.weights = sum(np.frombuffer(r.weights) * (r.pairs / total) for r in found).reshape(model.weights.shape).astype(np.float32)
+        model.refine_by(sum(np.frombuffer(r.sums) for r in found).reshape(2, GATES, CELLS + 1))
+    return model
+
+
+def symbol_counts(pairs: DataFrame) -> np.ndarray:
+    """Occurrences of each byte and end mark in all training tokens."""
+
+    def each(rows: dict) -> dict:
+        lengths = np.array([len(w) for w in rows["word"]], np.int64)
+        n = np.array(rows["n"], np.int64)
+        out = np.zeros(SYMBOLS)
+        out[:256] = np.bincount(np.frombuffer(b"".join(rows["word"]), np.uint8), np.repeat(n, lengths), minlength=256)
+        out[END_OF_WORD], out[END_OF_TEXT] = n[lengths > 0].sum(), n[lengths == 0].sum()
+        return {"symbol": list(range(SYMBOLS)), "n": out.astype(np.int64).tolist()}
+
+    counted = map_rows(pairs.select("word", "n"), "symbol int, n long", each, rows=1 << 16).groupBy("symbol").agg(F.sum("n").alias("n"))
+    out = np.zeros(SYMBOLS, np.int64)
+    for row in counted.collect():
+        out[row.symbol] = row.n
+    return out
+
+
 def trained_tables(pairs: DataFrame, code: Code) -> list[np.ndarray]:
     """The hashed count tables of all training tokens, from the counts of (class, word)."""
     spark = pairs.sparkSession
@@ -355,7 +466,7 @@ def trained_tables(pairs: DataFrame, code: Code) -> list[np.ndarray]:
 
     schema = "input int, block int, task int, counts binary"
     counted = pairs.repartition(tasks).mapInArrow(count, schema)
-    few = map_groups(counted, ["input", "block", "task"], schema, added)
+    few = map_groups(counted, ["input", "block", "task"], schema, added) if tasks > 32 else counted
     rows = map_groups(few, ["input", "block"], "input int, block int, slots binary", packed).collect()
     tables = [np.zeros(1 << bits, np.uint16) for bits in SLOT_BITS]
     for row in rows:
@@ -378,26 +489,110 @@ def frequent(counts: DataFrame, most: int) -> pa.Table:
     return seen.where(step >= least).toArrow()
 
 
-def class_words(sample: DataFrame) -> list[bytes]:
-    """The most frequent words of the sample, by falling count."""
-    counts = gathered(sample.select("text", F.lit(False).alias("held_out")), lambda words: [(0, words)])
-    top = counts.orderBy(F.desc("n"), "word").limit(CLASS_WORDS).toArrow()
-    return top.column("word").to_pylist()
+def class_words(train: DataFrame) -> list[bytes]:
+    """The most frequent words of all texts, by falling count, then by their bytes.
 
+    Tasks tell of words they met TOLD times. What they keep to themselves bounds how much a
+    count can be short; where that leaves the choice open, all words are counted.
+    """
 
-def fitted_classes(sample: DataFrame) -> Classes:
-    words = class_words(sample)
-    rank = {w: i for i, w in enumerate(words)}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
 
-    def each(rows: dict) -> dict:
-        found = [[r for r in map(rank.get, words_of(t)) if r is not None] for t in rows["text"]]
-        return {"counts": [np.bincount(f, minlength=len(words)).tolist() if f else [0] * len(words) for f in found]}
+        def made() -> pa.RecordBatch:
+            told = {w: n for w, n in found.items() if n >= TOLD}
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array([None, *told], pa.binary()), pa.array([1, *told.values()], pa.int64())], names=["word", "n"])
+
+        for batch in batches:
+            for text in batch.column("text"):
+                found.update(words_of(text.as_py()))
+                if len(found) >= GATHERED:
+                    yield made()
+        if found:
+            yield made()
 
-    return Classes.fit(words, [r.counts for r in map_rows(sample, "counts array<int>", each, rows=128).collect()], CLASSES)
+    counts = cut(train.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("told")))
+    parts = counts.where("word is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    order = [F.desc("n"), "word"]
+    top = counts.where("word is not null").orderBy(*order).limit(CLASS_WORDS).toArrow()
+    words = top.column("word").to_pylist()
+    short = (F.lit(parts) - F.col("told")) * (TOLD - 1)
+    least = min(top.column("n").to_pylist(), default=0)
+    if len(words) == CLASS_WORDS and least > parts * (TOLD - 1):
+        doubt = counts.where("word is not null").where((short > 0) & (F.col("n") + short >= least)).select("word").limit(CLASS_WORDS + 1).collect()
+        if all(bytes(r.word) in words for r in doubt):
+            return words
+    every = gathered(train.select("text", F.lit(False).alias("held_out")), lambda words: [(0, words)])
+    return every.orderBy(*order).limit(CLASS_WORDS).toArrow().column("word").to_pylist()
+
+
+def fitted_classes(train: DataFrame) -> Classes:
+    """Classes of the frequent words, by expectation maximization over all texts; some texts, picked by
+    their counts, say where it starts."""
+    words = class_words(train)
+    if not words:
+        return Classes(words, np.zeros((0, 1)))
+    known = Lookup(hashes_of(words))
+
+    def counted(rows: dict) -> dict:
+        out = []
+        for part in text_chunks(rows["text"]):
+            hashes, counts = word_hashes(rows["text"][part])
+            rank = known.rows(hashes)
+            hit = rank >= 0
+            at = np.repeat(np.arange(len(counts)), counts)[hit] * len(words) + rank[hit]
+            x = np.minimum(np.bincount(at, minlength=len(counts) * len(words)), 20).astype(np.uint8).reshape(len(counts), len(words))
+            out.append(x[x.any(axis=1)].tobytes())
+        return {"docs": [len(x) // len(words) for x in out], "counts": out}
+
+    blocks = cut(map_rows(train.select("text"), "docs int, counts binary", counted))
+    docs = blocks.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
+    if not docs:
+        return Classes(words, np.zeros((len(words), 1)))
+    spread = mix64(np.arange(1, len(words) + 1, dtype=U64))
+    least = U64(min((1 << 64) - 1, int((1 << 64) * min(1.0, START_DOCS / docs))))
+
+    def read(blob: bytes) -> np.ndarray:
+        return np.frombuffer(blob, np.uint8).reshape(-1, len(words))
+
+    def picked(rows: dict) -> dict:
+        out = []
+        for blob in rows["counts"]:
+            x = read(blob)
+            out.append(x[mix64(x.astype(U64) @ spread) <= least].tobytes())
+        return {"counts": out}
+
+    some = b"".join(r.counts for r in map_rows(blocks, "counts binary", picked, rows=16).collect()) or bytes(blocks.where("docs > 0").first().counts)
+    logs, prior = Classes.start(read(some), CLASSES)
+    last = -np.inf
+    for _ in range(FIT_ROUNDS):
+
+        def each(rows: dict) -> dict:
+            mass, share, found = np.zeros(logs.shape), np.zeros(len(prior)), 0.0
+            for blob in rows["counts"]:
+                x = read(blob).astype(float)
+                z = x @ logs + prior
+                top = z.max(axis=1, keepdims=True)
+                p = np.exp(z - top)
+                total = p.sum(axis=1, keepdims=True)
+                p /= total
+                mass += x.T @ p
+                share += p.sum(axis=0)
+                found += float((top + np.log(total)).sum())
+            return {"sums": [[*mass.ravel().tolist(), *share.tolist(), found]]}
+
+        sums = np.sum(sorted(r.sums for r in map_rows(blocks.where("docs > 0"), "sums array<double>", each).collect()), axis=0)
+        mass, share, found = sums[: logs.size].reshape(logs.shape) + 0.1, sums[logs.size : -1], sums[-1]
+        logs, prior = np.log(mass / mass.sum(axis=0)), np.log((share + 1) / (docs + len(prior)))
+        if found - last < 1e-5 * abs(found):
+            break
+        last = found
+    return Classes(words, logs)
 
 
 def word_scores(pairs: DataFrame, model: Model, total: int) -> DataFrame:
-    """class, word, n, c (training occurrences in all classes), score (log10 probability) of every pair, scored once."""
+    """class, word, n, c (training occurrences in all classes), key, score (log10 probability) of every pair, scored once."""
     spark = pairs.sparkSession
     sizes = dict(pairs.groupBy("class").agg(F.sum("n")).collect())
     sent = spark.sparkContext.broadcast(model)
@@ -408,12 +603,13 @@ def word_scores(pairs: DataFrame, model: Model, total: int) -> DataFrame:
         share = EXACT if total else 0.0
         with np.errstate(divide="ignore"):
             both = np.logaddexp(np.log(share * exact), math.log(1 - share) + sent.value.log10(kinds, rows["word"]) * math.log(10))
-        return {**rows, "score": (both / math.log(10)).tolist()}
+        keys = keys_of(kinds, hashes_of(rows["word"])).view(np.int64)
+        return {**rows, "key": keys.tolist(), "score": (both / math.log(10)).tolist()}
 
     in_all = pairs.groupBy("word").agg(F.sum("n").alias("c"))
     tasks = max(spark.sparkContext.defaultParallelism, math.ceil(pairs.count() / SCORED_A_TASK))
     rows = pairs.join(in_all, "word").select("class", "word", "n", "c").repartition(tasks, "class", "word")
-    return map_rows(rows, "class int, word binary, n long, c long, score double", each, rows=BATCH)
+    return map_rows(rows, "class int, word binary, n long, c long, key long, score double", each, rows=BATCH)
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -421,8 +617,7 @@ def scored(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     read = docs.select(F.col("doc_id").cast("long"), "text", held_out(F.col("doc_id")).alias("held_out"))
     train = read.where("not held_out")
-    picked = cut(hashed_sample(train.where("doc_id is not null").select("doc_id"), "doc_id", "mixer", CLASS_DOCS).distinct())
-    classes = fitted_classes(cut(train.join(F.broadcast(picked), "doc_id", "left_semi").select("text")))
+    classes = fitted_classes(train)
 
     def parts_of(words: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         return ((kind, part or [b""]) for kind, part in classes.stretches(words))
@@ -432,63 +627,58 @@ def scored(docs: DataFrame) -> DataFrame:
         F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.count_if(F.col("c") > 0), F.lit(0)).alias("v")
     ).first()
     trained = pairs.where("n > 0")
-    symbols = np.zeros(SYMBOLS, np.int64)
-    often = frequent(trained, HEAD)
-    for word, n in zip(often.column("word").to_pylist(), often.column("n").to_pylist()):
-        if word:
-            np.add.at(symbols, np.frombuffer(word, np.uint8), n)
-        symbols[END_OF_WORD if word else END_OF_TEXT] += n
-    code = Code(symbols)
-    model = Model(code, trained_tables(trained, code))
-    few = hashed_sample(trained, "word", "mixer", MIXER_PAIRS).orderBy("class", "word").toArrow()
-    if few.num_rows:
-        model.learn(few.column("class").to_numpy(), few.column("word").to_pylist(), few.column("n").to_numpy())
-    scores = cut(word_scores(pairs, model, total.n))
+    code = Code(symbol_counts(trained))
+    model = learned(trained, code, trained_tables(trained, code))
+    scores = cut(word_scores(pairs, model, total.n).select("n", "c", "key", "score"))
     head = frequent(scores, HEAD)
-    # of each class: word -> its score and the logarithm of its count, as one number, so that one sum gives both
-    known: list[dict[bytes, complex]] = [{} for _ in range(CLASSES + 1)]
-    for kind, word, c, score in zip(*(head.column(k).to_pylist() for k in ("class", "word", "c", "score"))):
-        known[kind][word] = complex(score, math.log10(c + 1))
-    sent = spark.sparkContext.broadcast(known)
+    # Equal keys are equal pairs but for one chance in 2^64 for any two.
+    keys, first = np.unique(head.column("key").to_numpy().view(U64), return_index=True)
+    c = head.column("c").to_numpy()[first]
+    sent = spark.sparkContext.broadcast((Lookup(keys), head.column("score").to_numpy()[first], np.log10(c + 1.0)))
 
     def each(rows: dict) -> dict:
-        known = sent.value
-        out: dict[str, list] = {"doc_id": rows["doc_id"], "held_out": rows["held_out"], "n_tokens": [], "n_bytes": [], "head_score": [],
-                                "head_known": [], "head_log": [], "kinds": [], "words": [], "times": []}
-        for text in rows["text"]:
-            words = words_of(text)
-            both, met, tail = 0j, 0, Counter()
-            for kind, part in parts_of(words):
-                values = [*map(known[kind].get, part)]
-                missing = values.count(None)
-                met += len(part) - missing
-                both += sum(filter(None, values) if missing else values)
-                if missing:
-                    tail.update([(kind, w) for w, x in zip(part, values) if x is None])
-            out["n_tokens"].append(len(words) + 1)
-            out["n_bytes"].append(sum(map(len, words)) + len(words) + 1)
-            out["head_score"].append(both.real)
-            out["head_known"].append(met)
-            out["head_log"].append(both.imag)
-            out["kinds"].append([k for k, _ in tail])
-            out["words"].append([w for _, w in tail])
-            out["times"].append(list(tail.values()))
-        return out
+        known, scores_, logs = sent.value
+        out: dict[str, list] = {k: [] for k in ("n_tokens", "n_bytes", "head_score", "head_known", "head_log", "keys", "times")}
+        for part in text_chunks(rows["text"]):
+            texts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in rows["text"][part]]
+            hashes, counts = word_hashes(texts)
+            kinds, ends = classes.of_words(hashes, counts)
+            size = len(counts)
+            owner = np.concatenate((np.repeat(np.arange(size), counts), np.arange(size)))
+            asked = keys_of(np.concatenate((kinds, ends)), np.concatenate((hashes, np.zeros(size, U64))))
+            row = known.rows(asked)
+            met = row >= 0
+            at, row = owner[met], row[met]
+            out["n_tokens"] += (counts + 1).tolist()
+            letters = np.array([len(t) - sum(map(t.count, SPACES)) for t in texts], np.int64)
+            out["n_bytes"] += (letters + counts + 1).tolist()
+            out["head_score"] += np.bincount(at, scores_[row], minlength=size).tolist()
+            out["head_known"] += np.bincount(at, minlength=size).tolist()
+            out["head_log"] += np.bincount(at, logs[row], minlength=size).tolist()
+            at, tail = owner[~met], asked[~met]
+            order = np.lexsort((tail, at))
+            at, tail = at[order], tail[order].view(np.int64)
+            new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (tail[1:] != tail[:-1])))) if len(at) else np.zeros(0, np.int64)
+            times, tail = np.diff(np.append(new, len(at))), tail[new]
+            cuts = np.searchsorted(at[new], np.arange(1, size))
+            out["keys"] += [k.tolist() for k in np.split(tail, cuts)]
+            out["times"] += [k.tolist() for k in np.split(times, cuts)]
+        return {"doc_id": rows["doc_id"], "held_out": rows["held_out"], **out}
 
     told = cut(map_rows(
         read, "doc_id long, held_out boolean, n_tokens long, n_bytes long, head_score double, head_known long, head_log double, "
-        "kinds array<int>, words array<binary>, times array<int>", each, rows=128,
+        "keys array<long>, times array<int>", each, rows=512,
     )).withColumn("_row", F.monotonically_increasing_id())
-    rare = told.select("_row", F.explode(F.arrays_zip("kinds", "words", "times")).alias("w"))
-    rare = rare.select("_row", F.col("w.kinds").alias("class"), F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    met = rare.join(scores.select("class", "word", "c", "score"), ["class", "word"]).groupBy("_row").agg(
+    rare = told.select("_row", F.explode(F.arrays_zip("keys", "times")).alias("w"))
+    rare = rare.select("_row", F.col("w.keys").alias("key"), F.col("w.times").alias("times"))
+    met = rare.join(scores.select("key", "c", "score"), "key").groupBy("_row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("_known"),
         F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("_log"), F.sum(F.col("times") * F.col("score")).alias("_score"),
     )
     known_tokens = F.col("head_known") + F.coalesce("_known", F.lit(0))
     logs = F.col("head_log") + F.coalesce("_log", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(total.n + total.v + 1))
     score = F.col("head_score") + F.coalesce("_score", F.lit(0.0))
-    return told.drop("kinds", "words", "times").join(met, "_row", "left").select(
+    return told.drop("keys", "times").join(met, "_row", "left").select(
         "doc_id", "held_out", "n_tokens", known_tokens.cast("long").alias("n_known"), F.lit(total.n).cast("long").alias("train_tokens"),
         logs.alias("base_score"), score.alias("score"), (score * F.lit(-math.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
