@@ -145,7 +145,7 @@ class Classes:
     @staticmethod
     def start(counts: np.ndarray, components: int, rounds: int = 25, restarts: int = 8) -> tuple[np.ndarray, np.ndarray]:
         """Log shares of words and log priors to start from: expectation maximization over the words' counts in some texts."""
-        x = np.unique(counts, axis=0).astype(float)
+        x = counts[np.lexsort(counts.T[::-1])].astype(float)
         share = x / x.sum(axis=1, keepdims=True)
         likely = np.flatnonzero(x.sum(axis=1) >= min(10, x.sum(axis=1).max()))
         rng, best = np.random.default_rng(11), (-np.inf, None, None)
