@@ -73,3 +73,11 @@ def test_address_behind_at_sign(spark):
     wrong = spark.createDataFrame([(i, "bad.xyz", "domain", "fp") for i in range(len(texts))], "sample int, value string, type string, outcome string")
     got = {r.sample: r["class"] for r in E.error_classes(wrong, docs).collect()}
     assert [got[i] == "email_domain_leak" for i in range(len(texts))] == [True, False, False, False, True, False, False, True]
+
+
+def test_ablation_runs_the_rules_for_clean_texts_only(spark):
+    def python_steps(df):
+        return df._jdf.queryExecution().sparkPlan().toString().count("ArrowEvalPython")
+
+    sf_dir = "/root/testdata/sf0.001"
+    assert python_steps(CE.ablation(spark, sf_dir)) == python_steps(CE.labelled_docs(spark, sf_dir)) > 0
